@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .pieces import SPACE, load
 
 #: Units and token pairs that a Python worker keeps.
-KEPT = 400_000
+KEPT = 1_000_000
 
 codecs.register_error("versewright-bytes", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -55,12 +55,23 @@ class Codec(dict):
         return known
 
     def pieces(self, unit: str) -> list[str]:
-        """The tokens of a unit by backtracking."""
+        """The tokens of a unit: its longest matches if all neighbours fit, else by backtracking."""
+        path, before, fits = [], None, self.fits
+        at = 0
+        for end, name in self.found.iter_long(unit):
+            if (known := fits.get((before, name))) is None:
+                known = self.compatible(before, name)
+            if not known or end - len(name) + 1 != at:
+                break
+            path.append(name)
+            before, at = name, end + 1
+        else:
+            if at == len(unit):
+                return path
         starts: list[list[str]] = [[] for _ in unit]
         for end, name in self.found.iter(unit):
             starts[end - len(name) + 1].append(name)  # ends ascend, so the longest of a place is its last
-        n, at, failed = len(unit), 0, 0
-        path: list[str] = []
+        n, at, failed, path = len(unit), 0, 0, []
         tried: list[int] = []  # for each token of the path, its index among the pieces of its place
         k = len(starts[0]) - 1
         while at < n:
@@ -73,8 +84,11 @@ class Codec(dict):
                 here = starts[at]
                 while k >= 0:
                     name = here[k]
-                    if not failed >> (at + len(name)) & 1 and self.compatible(before, name):
-                        break
+                    if not failed >> (at + len(name)) & 1:
+                        if (known := fits.get((before, name))) is None:
+                            known = self.compatible(before, name)
+                        if known:
+                            break
                     k -= 1
                 if k < 0:
                     failed |= 1 << at

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .pieces import load, runs
 
 #: Pre-tokens whose counts a Python worker keeps.
-KEPT = 400_000
+KEPT = 1_000_000
 NONE = 2**30
 
 
@@ -89,7 +89,9 @@ class Counter(dict):
             keep[at + 1] = False
             here = np.cumsum(keep)[at] - 1
             sym, owner, rank, made = sym[keep], owner[keep], rank[keep], made[keep]
-            again = np.unique(np.concatenate([here, here[here > 0] - 1]))
+            near = np.zeros(len(sym) + 1, bool)
+            near[here] = near[here - 1] = True  # -1 falls on the spare place
+            again = np.flatnonzero(near[:-1])
             nxt = np.minimum(again + 1, len(sym) - 1)
             r, m = self.look(sym[again], sym[nxt])
             apart = (again == nxt) | (owner[again] != owner[nxt])
