@@ -100,3 +100,33 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components: no fixed point")
     return now.select(a.alias("id"), b.alias("root")).unionAll(now.select(b.alias("id"), b.alias("root"))).distinct()
+
+
+def linked(buckets: DataFrame, verify, least: float) -> DataFrame:
+    """Classes of what verified pairs link: (id, root) for each id that has a link, root the smallest id.
+
+    buckets(bucket long, id long, size int): who met whom. verify turns pairs(a, b) into the pairs that hold.
+    First each member is held against the smallest id of each of its buckets. Only where a bucket still has
+    several classes are the members outside its largest class held against all its members of other classes
+    (pairs whose sizes alone rule out a similarity of ``least`` are left out), so that no link between
+    members of a bucket is missed and a bucket of similar members costs a pair each.
+    """
+    low = stored(buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.min(F.struct("id", "size"))["size"].alias("rep_size"), F.count("*").alias("n")).where("n > 1").drop("n"), "reps")
+    apart = lambda x, y: F.least(x, y) < least * F.greatest(x, y)
+    met = stored(buckets.join(low, "bucket"), "met")
+    pairs = stored(met.where((F.col("id") > F.col("rep")) & ~apart(F.col("size"), F.col("rep_size"))).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = stored(verify(pairs), "links")
+    first = stored(components(links), "classes")
+
+    of = met.select("bucket", "id", "size").join(first.withColumnRenamed("root", "r"), "id", "left").select("bucket", "id", "size", F.coalesce("r", "id").alias("root"))
+    of = stored(of, "members")
+    per = of.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    top = per.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "top")
+    top = stored(top, "top")
+    out = stored(of.join(top, "bucket").where("root <> top").select("bucket", F.col("id").alias("i"), F.col("size").alias("s"), F.col("root").alias("r")), "outside")
+    cross = of.join(out, "bucket").where((F.col("root") != F.col("r")) & ~apart(F.col("size"), F.col("s")))
+    cross = cross.select(F.greatest("id", "i").alias("a"), F.least("id", "i").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = stored(verify(stored(cross, "cross")), "links")
+    if more.isEmpty():
+        return first
+    return stored(components(links.unionByName(more)), "classes")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 
@@ -20,14 +21,40 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits"
+    )
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL)).select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op10_piece_codec)}
+    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_near_dedup, op7_secret_scan, op8_quality_rules, op10_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
