@@ -77,7 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = texts.select("doc_id", words(F.col("text")).alias("w"))
     d = d.select("doc_id", F.size("w").alias("n"), _hashes(F.col("w"), k).alias("h"))
-    at = d.select("doc_id", "n", F.posexplode("h").alias("pos", "hash"))
+    # outer: else a filter on the array goes down to where its expression is worked out again for each place
+    at = d.select("doc_id", "n", F.posexplode_outer("h").alias("pos", "hash"))
     hits = at.join(F.broadcast(anchors) if rows <= BROADCAST_ROWS else anchors, "hash")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("size")))
     windows = stored(hits.where(F.col("n") >= F.col("size")).select("doc_id", start.alias("start"), "size").distinct(), "windows")
