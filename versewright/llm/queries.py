@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -33,6 +39,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import repaired
+
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_labels import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import report
 
@@ -47,6 +65,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .zip_warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import round_trip
 
@@ -54,7 +78,10 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_near_dedup, op7_secret_scan, op8_quality_rules, op10_piece_codec)}
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op2_token_counts, op3_decontamination, op4_near_dedup, op5_chat_format,
+        op6_weak_labels, op7_secret_scan, op8_quality_rules, op9_zip_warc, op10_piece_codec,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
