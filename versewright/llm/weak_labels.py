@@ -36,12 +36,11 @@ class Labeller:
 
 
 LABELLERS = (
-    Labeller("shouting", "n_letters > 0 and 100 * n_upper > 40 * n_letters", "n_letters > 0 and 100 * n_upper < 15 * n_letters"),
-    Labeller("symbols", "n_words > 0 and 100 * n_symbols > 20 * n_words", "100 * n_symbols < 2 * n_words"),
-    Labeller("exclaiming", "n_words > 0 and 100 * n_marks > 15 * n_words", "100 * n_marks < 3 * n_words"),
-    Labeller("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines", "n_lines >= 4 and n_dup_lines = 0"),
+    Labeller("noise", "100 * (n_upper + n_symbols + n_marks) > 25 * n_letters", "100 * (n_upper + n_symbols + n_marks) < 12 * n_letters"),
+    Labeller("characters", "100 * n_odd > 3 * n_chars", "100 * n_odd < n_chars"),
+    Labeller("word_ends", "100 * n_odd_ends > 20 * n_words", "100 * n_odd_ends < 5 * n_words"),
     Labeller("sentences", "n_words >= 20 and 40 * n_stops < n_words", "n_words >= 20 and 25 * n_stops > n_words"),
-    Labeller("short", "n_words < 5", "n_words >= 50"),
+    Labeller("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines", "n_lines >= 4 and n_dup_lines = 0"),
 )
 
 
@@ -52,7 +51,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = docs.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
     return d.withColumn("__f", F.struct(
         F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).alias("n_words"), gone(r"\p{L}+").alias("n_letters"), gone(r"\p{Lu}+").alias("n_upper"), gone(r"[#*$%&|<>]+").alias("n_symbols"),
-        gone(r"!+").alias("n_marks"), gone(r"[.?]+").alias("n_stops"), F.size("__lines").alias("n_lines"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
+        gone(r"!+").alias("n_marks"), F.char_length(t).alias("n_chars"), gone(r"[^\p{L}\p{N}\p{M}\s.,;:?'\"()-]+").alias("n_odd"),
+        gone(r"[^\p{L}\p{N}\p{M}\s.,;:?'\"()-](?=\s|$)").alias("n_odd_ends"), gone(r"[.?]+").alias("n_stops"), F.size("__lines").alias("n_lines"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
     )).drop("__lines")
 
 
@@ -76,7 +76,7 @@ def estimate(patterns: dict[str, int], rounds: int = 300) -> tuple[list[dict[str
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
     v = np.array([["gb-".index(c) for c in k] for k in keys])
-    post = np.array([1 / (1 + math.exp(3.0 * k.count("b") - 0.5 * k.count("g") - 0.5)) for k in keys])
+    post = np.array([1 / (1 + math.exp(3.0 * k.count("b") - 0.5 * k.count("g"))) for k in keys])
     for _ in range(rounds):
         good = float((n @ post + 1) / (n.sum() + 2))
         odds = np.full(len(keys), math.log(good / (1 - good)))
