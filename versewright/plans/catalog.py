@@ -5,11 +5,381 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from versewright.functions import text as T
+from versewright.operators import audit, lookups, sequences, usfm
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, sql: str) -> DataFrame:
+    return spark.sql(f"select * from values {sql}")
+
+
+# ---- sequences over lineitem: an order is a chapter, a line number a verse
+
+_ARRIVAL = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
+_LATE = "select l_orderkey, l_linenumber, lag(l_linenumber) over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey) as prev from lineitem"
+_GAPS = "select k.l_orderkey, g.n from (select l_orderkey, min(l_linenumber) lo, max(l_linenumber) hi from lineitem group by 1) k, range(1, 20) g(n) where g.n between k.lo and k.hi and not exists (select 1 from lineitem l where l.l_orderkey = k.l_orderkey and l.l_linenumber = g.n)"
+
+
+@query(f"""
+select 'VERSE_OUT_OF_ORDER' as code, count(*) as n from ({_LATE}) where l_linenumber < prev
+union all select 'VERSE_DUPLICATE', count(*) from (select row_number() over (partition by l_orderkey, l_linenumber) rn from lineitem) where rn > 1
+union all select 'VERSE_START_NOT_ONE', count(*) from (select l_orderkey from lineitem group by 1 having min(l_linenumber) <> 1)
+union all select 'VERSE_SEQUENCE_GAP', count(*) from ({_GAPS})""")
+def sequence_integrity(spark, sf):
+    return sequences.by_code(sequences.issues(table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", _ARRIVAL))
+
+
+@query(f"select l_orderkey, n as number from ({_GAPS})")
+def sequence_gaps(spark, sf):
+    found = sequences.issues(table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", _ARRIVAL)
+    return found.where("code = 'VERSE_SEQUENCE_GAP'").select("l_orderkey", F.col("number").cast("long").alias("number"))
+
+
+@query("""
+with d as (select distinct l_orderkey, l_linenumber as number from lineitem), p as (select *, lag(number) over (partition by l_orderkey order by number) as prev from d)
+select l_orderkey, prev, number from p where number <> prev + 1""")
+def sequence_jumps(spark, sf):
+    return sequences.jumps(table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query("""
+with d as (select l_orderkey, l_linenumber as number, lag(l_linenumber) over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey) as prev,
+ row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate, l_linenumber, l_partkey, l_suppkey) as nth from lineitem),
+c as (select l_orderkey, number, case when number < 1 then 'INVALID' when nth > 1 then 'DUPLICATE' when number = 1 and prev > 1 then 'RESTART' when number < prev then 'DECREASE' when number > prev + 1 then 'GAP' end as code from d)
+select l_orderkey, code, number from c where code is not null""")
+def continuity(spark, sf):
+    return sequences.continuity(table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", _ARRIVAL)
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
+def duplicate_keys(spark, sf):
+    return sequences.duplicates(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("select l_orderkey, min(line) as line from (select l_orderkey, l_partkey as pos, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey) as line from lineitem) x, (select l_orderkey k, l_partkey p2, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey) as l2 from lineitem) y where x.l_orderkey = y.k and y.l2 = x.line - 1 and x.pos < y.p2 group by 1")
+def first_inversion(spark, sf):
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "lineitem").withColumn("line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ARRIVAL)).cast("long"))
+    return sequences.first_inversion(d, ["l_orderkey"], "l_partkey", "line_no")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey) rn from lineitem) where rn <= 2")
+def first_rows_per_key(spark, sf):
+    return sequences.first_per_key(table(spark, sf, "lineitem"), ["l_orderkey"], _ARRIVAL, 2).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("""
+select l_orderkey, l_linenumber, l_suppkey, owner from (select *, first_value(l_suppkey) over (partition by l_orderkey, l_linenumber order by l_shipdate, l_linenumber, l_partkey, l_suppkey) as owner from lineitem) where owner <> l_suppkey""")
+def covered_twice(spark, sf):
+    d = table(spark, sf, "lineitem").withColumn("p", F.col("l_suppkey").cast("string"))
+    return sequences.first_owner(d, ["l_orderkey", "l_linenumber"], "p", _ARRIVAL).select("l_orderkey", "l_linenumber", "l_suppkey", F.col("owner").cast("long").alias("owner"))
+
+
+# ---- order within conversations
+
+
+@query("select conv_id, turn, max(case when role = 'user' then turn end) over (partition by conv_id order by turn rows unbounded preceding) as user_turn from conversations")
+def carry_forward(spark, sf):
+    d = table(spark, sf, "conversations")
+    return sequences.carried(d, F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], ["turn"], "user_turn").select("conv_id", "turn", "user_turn")
+
+
+@query("select conv_id, turn, lag(role) over w as before, lead(role) over w as after from conversations window w as (partition by conv_id order by turn)")
+def neighbouring_rows(spark, sf):
+    return sequences.neighbours(table(spark, sf, "conversations"), "role", ["conv_id"], ["turn"]).select("conv_id", "turn", "before", "after")
+
+
+@query("select conv_id, turn, sum(case when role = 'user' then 1 else 0 end)::bigint over (partition by conv_id order by turn rows unbounded preceding) as segment_id from conversations".replace("::bigint over", " over"))
+def segments(spark, sf):
+    return sequences.segments(table(spark, sf, "conversations"), F.col("role") == "user", ["conv_id"], ["turn"]).select("conv_id", "turn", F.col("segment_id").cast("decimal(38,0)"))
+
+
+@query("select conv_id, turn, role from conversations c where not exists (select 1 from conversations d where d.conv_id = c.conv_id and d.turn <= c.turn and d.role = 'assistant' and d.turn >= 3)")
+def capped_rows(spark, sf):
+    return sequences.until(table(spark, sf, "conversations"), (F.col("role") == "assistant") & (F.col("turn") >= 3), ["conv_id"], ["turn"]).select("conv_id", "turn", "role")
+
+
+@query("select conv_id, string_agg(text, ' ' order by turn) as text from conversations group by 1")
+def ordered_text(spark, sf):
+    return sequences.ordered_text(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "text")
+
+
+# ---- lookups and coverage
+
+
+@query("with s as (select distinct p_size as start from part) select l_orderkey, l_linenumber, l_partkey, l_suppkey, (select max(start) from s where start <= l_quantity) as floor from lineitem")
+def floor_lookup(spark, sf):
+    starts = table(spark, sf, "part").select(F.col("p_size").alias("start")).distinct()
+    return lookups.floor(table(spark, sf, "lineitem"), "l_quantity", starts, "start").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "floor")
+
+
+@query("select n_regionkey, n_nationkey, lead(n_nationkey) over (partition by n_regionkey order by n_nationkey) as next_start from nation")
+def next_start(spark, sf):
+    return lookups.next_start(table(spark, sf, "nation"), ["n_regionkey"], "n_nationkey").select("n_regionkey", "n_nationkey", "next_start")
+
+
+@query("select o_orderkey, n as l_linenumber from orders, range(1, 8) r(n) where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linenumber = n)")
+def missing_coverage(spark, sf):
+    want = lookups.expected_numbers(table(spark, sf, "orders").select("o_orderkey", F.lit(7).alias("most")), ["o_orderkey"], "most", "l_linenumber")
+    have = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return lookups.missing(want, have, ["o_orderkey", "l_linenumber"]).select("o_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+
+
+@query("select distinct l_orderkey, l_linenumber from lineitem, orders where o_orderkey = l_orderkey and l_linenumber not between 1 and o_custkey % 7")
+def extra_coverage(spark, sf):
+    dim = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 7).alias("most"))
+    return lookups.out_of_range(table(spark, sf, "lineitem"), dim, ["l_orderkey"], "l_linenumber", "most").select("l_orderkey", "l_linenumber").distinct()
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def uncovered_keys(spark, sf):
+    return lookups.missing(table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+
+
+@query("select l_orderkey, l_linenumber, o_totalprice from lineitem join orders on l_orderkey = o_orderkey where l_shipdate between o_orderdate and o_orderdate + interval 90 days")
+def range_join(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", F.col("o_orderdate").alias("lo"), (F.col("o_orderdate") + F.expr("interval 90 days")).alias("hi"))
+    return lookups.within_range(table(spark, sf, "lineitem"), o, ["l_orderkey"], "l_shipdate", "lo", "hi").select("l_orderkey", "l_linenumber", "o_totalprice")
+
+
+@query("select s_suppkey, s_name, n_name from supplier left join nation on s_nationkey = n_nationkey")
+def expected_lookup(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return lookups.with_expected(table(spark, sf, "supplier"), n, ["s_nationkey"]).select("s_suppkey", "s_name", "n_name")
+
+
+@query("select n_nationkey, coalesce(case when n_nationkey % 3 = 0 then 'CHOSEN_' || n_regionkey end, n_name) as n_name from nation")
+def user_overrides(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    chosen = table(spark, sf, "nation").where("n_nationkey % 3 = 0").select("n_nationkey", F.concat(F.lit("CHOSEN_"), F.col("n_regionkey").cast("string")).alias("n_name"))
+    return lookups.overridden(n, chosen, "n_nationkey", "n_name")
+
+
+@query("select page_id, regexp_extract(split_part(url, '?', 1), '^(https?://[^/]+(/(de|en|es|fr))?)', 1) as root from pages where regexp_matches(url, '^https?://[^/]+/(de|en|es|fr)/')")
+def prefix_join(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.split("url", r"\?")[0].alias("path"))
+    roots = p.select(F.explode(F.array(F.regexp_extract("path", "^(https?://[^/]+)", 1), F.regexp_extract("path", "^(https?://[^/]+/(?:de|en|es|fr))/", 1))).alias("root")).where("root <> ''").distinct()
+    return lookups.longest_prefix(p, "path", roots).where(F.col("root").rlike("/(de|en|es|fr)$")).select("page_id", "root")
+
+
+@query("select 'p' || page_id as path from pages where page_id % 5 = 0 or page_id % 7 = 1")
+def changed_files(spark, sf):
+    p = table(spark, sf, "pages")
+    after = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content"))
+    before = p.where("page_id % 5 <> 0").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.when(F.col("page_id") % 7 == 1, "other").otherwise(F.col("html")).alias("content"))
+    return lookups.changed(after, before)
+
+
+_ALIAS = "('GEN','Genesis',0),('GEN','1 Moses',1),('EXO','Exodus',0),('EXO','2 Moses',1),('RUT','Ruth',0),('JOB','Job',0)"
+_HEADS = "(1,'GENESIS'),(2,'The book of Ruth!'),(3,'1-Moses'),(4,'Preface'),(5,'Job and Ruth'),(6,null)"
+
+
+@query(f"""
+with a as (select *, lower(regexp_replace(alias, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) as k from (values {_ALIAS}) t(book, alias, priority)),
+h as (select *, lower(regexp_replace(heading, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) as hk from (values {_HEADS}) t(id, heading))
+select id, coalesce((select min(book) from a where k = hk having count(distinct book) = 1), (select book from a where contains(hk, k) order by priority, book limit 1)) as book from h""")
+def alias_resolution(spark, sf):
+    a = values(spark, f"{_ALIAS} t(book, alias, priority)")
+    return lookups.by_alias(values(spark, f"{_HEADS} t(id, heading)"), F.col("heading"), a, T.alias_key).select("id", "book")
+
+
+@query("""
+with e as (select * from (values ('GEN','1:1,4,7;2:1,3'),('RUT','1:1,3,1')) t(book, encoded)), p as (select book, unnest(string_split(encoded, ';')) as p from e)
+select distinct book, split_part(p, ':', 1)::int as chapter, unnest(string_split(split_part(p, ':', 2), ','))::int as start from p""")
+def chunk_map(spark, sf):
+    return lookups.decode_chunks(values(spark, "('GEN','1:1,4,7;2:1,3'),('RUT','1:1,3,1') t(book, encoded)"))
+
+
+# ---- marked-up lines
+
+_LINES = [(1, r"\id gen A book"), (2, r"\h Genesis"), (3, r"\c 1"), (4, r"\p"), (5, r"\v 1 In the beginning"), (6, "it was so \\v 2 and then"), (7, r"\v 4 later"), (8, r"\c 2"), (9, r"\v 2 second"), (10, r"\v 2 again"), (11, r"\id rut"), (12, r"\c 1"), (13, r"\v ۱ persian")]
+_VERSES = "('d','GEN',1,1,'In the beginning it was so',5),('d','GEN',1,2,'and then',6),('d','GEN',1,4,'later',7),('d','GEN',2,2,'second',9),('d','GEN',2,2,'again',10),('d','RUT',1,1,'persian',13)"
+
+
+def _lines(spark) -> DataFrame:
+    return spark.createDataFrame([("d", n, x) for n, x in _LINES], "doc_id string, line_no long, line string")
+
+
+@query(f"select doc_id, book, chapter, verse, text from (values {_VERSES.replace('In the beginning it was so', 'In the beginning')}) t(doc_id, book, chapter, verse, text, line_no)")
+def usfm_verses(spark, sf):
+    return usfm.verses(_lines(spark), continued=False).select("doc_id", "book", "chapter", "verse", "text")
+
+
+@query("select * from (values ('VERSE_DUPLICATE', 1), ('VERSE_SEQUENCE_GAP', 1), ('VERSE_START_NOT_ONE', 1)) t(code, n)".replace(", 1)", ", 1::bigint)"))
+def usfm_issues(spark, sf):
+    v = usfm.verses(_lines(spark))
+    return sequences.by_code(sequences.issues(v, ["doc_id", "book", "chapter"], "verse", ["line_no", "pos"]))
+
+
+@query("select 'd' as doc_id, 'GEN' as book, 1 as chapter, * from (values (1, 1, 2), (3, 4, 4)) t(chunk_start, first_verse, last_verse) union all select 'd', 'GEN', 2, 1, 2, 2")
+def usfm_chunks(spark, sf):
+    starts = values(spark, "('GEN',1,1),('GEN',1,3),('GEN',2,1) t(book, chapter, start)")
+    return usfm.to_chunks(usfm.verses(_lines(spark)).where("book = 'GEN'"), starts).select("doc_id", "book", "chapter", "chunk_start", "first_verse", "last_verse")
+
+
+@query("select 'd' as doc_id, 'GEN' as book, 'Genesis' as title")
+def usfm_identity(spark, sf):
+    return usfm.identity(_lines(spark))
+
+
+@query("select count(*) as n from (values (1)) t")
+def usfm_gate(spark, sf):
+    bad = values(spark, r"('x',1L,'\\d A psalm \\v 1 of'),('y',1L,'\\d A psalm') t(doc_id, line_no, line)")
+    clean, blocked = usfm.gate(bad, usfm.rejected(bad))
+    return clean.crossJoin(F.broadcast(blocked.agg(F.count("*").alias("b")))).where("b = 1").agg(F.count("*").alias("n"))  # one row
+
+
+@query("select * from (values ('x', 'Error', 'MARKER_UNSUPPORTED', 'q9'), ('x', 'Warning', 'MARKER_PRIVATE_NAMESPACE', 'zz')) t(doc_id, severity, code, marker)")
+def usfm_markers(spark, sf):
+    d = values(spark, r"('x',1L,'\\p \\q9 text \\zz private\\zz*'),('x',2L,'\\v 1 text') t(doc_id, line_no, line)")
+    return usfm.markers(d, values(spark, "('p'),('v') t(marker)"))
+
+
+@query("""
+select * from (values ('a', 'USFM_SMALL_FILE', '14'), ('a', 'USFM_JAMMED_VERSE_NUMBER', '\\v 1x'), ('b', 'USFM_SMALL_FILE', '8'), ('b', 'USFM_STRANDED_BACKSLASH', ''), ('b', 'USFM_FOREIGN_MARKER_CHAR', '\\9')) t(path, code, found)""")
+def usfm_preflight(spark, sf):
+    return usfm.preflight(spark.createDataFrame([("a", "\\v 1x word wor"), ("b", "\\ x \\9 y")], "path string, text string"))
+
+
+# ---- text rules, over documents with defects put in
+
+_DEFECTS = ((". ", " . "), (", ", "  ,"), (" the ", " the "), (" of ", " of‎ "), ("! ", "!. "))
+
+
+def _spoilt(spark, sf) -> DataFrame:
+    c = F.col("text")
+    for a, b in _DEFECTS:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", c.alias("text"))
+
+
+def _spoilt_sql() -> str:
+    c = "text"
+    for a, b in _DEFECTS:
+        c = f"replace({c}, '{a}', '{b}')"
+    return f"(select doc_id, lang, source, {c} as text from documents)"
+
+
+_WS = "[\\s ]"
+
+
+@query(f"select doc_id, regexp_replace(text, '{_WS}+([,.;:!?،؛؟۔])', '\\1', 'g') as text, (length(text) - length(regexp_replace(text, '{_WS}+([,.;:!?،؛؟۔])', '\\1', 'g')))::bigint as n_removed from {_spoilt_sql()}")
+def space_before_stop(spark, sf):
+    after = T.apply([r for r in T.SPACING if r.name == "space_before_stop"], F.col("text"))
+    return _spoilt(spark, sf).select("doc_id", after.alias("text"), T.removed(F.col("text"), after).alias("n_removed"))
+
+
+@query(f"select doc_id, regexp_replace(text, '[‎‏‪-‮⁦-⁩]', '', 'g') as text from {_spoilt_sql()}")
+def bidi_removed(spark, sf):
+    return _spoilt(spark, sf).select("doc_id", T.BIDI.apply(F.col("text")).alias("text"))
+
+
+@query(f"select doc_id, regexp_replace(text, '([!?؟])[.۔]', '\\1', 'g') as text from {_spoilt_sql()}")
+def stop_after_mark(spark, sf):
+    return _spoilt(spark, sf).select("doc_id", T.SPACING[1].apply(F.col("text")).alias("text"))
+
+
+@query(f"select doc_id, regexp_replace(replace(text, ' ', ' '), '([^\\s ])[  ]{{2,}}([^\\s ])', '\\1 \\2', 'g') as text from {_spoilt_sql()}")
+def inline_spaces(spark, sf):
+    rules = [r for r in T.INLINE_SPACES if r.name != "joined_stop"]
+    return _spoilt(spark, sf).select("doc_id", T.apply(rules, F.col("text")).alias("text"))
+
+
+@query("select doc_id, regexp_replace(translate(substr(text, 1, 40), '0123456789', '۰۱۲۳۴۵۶۷۸۹'), '[^\\p{L}\\p{Nd}]', '', 'g') as key, try_cast(n_chars::varchar as int) as number from documents")
+def digits_and_keys(spark, sf):
+    d = table(spark, sf, "documents")
+    key = F.regexp_replace(T.persian_digits(F.substring("text", 1, 40)), r"[^\p{L}\p{Nd}]", "")
+    return d.select("doc_id", key.alias("key"), T.script_number(T.persian_digits(F.col("n_chars").cast("string"))).alias("number"))
+
+
+@query("""
+select lang, count(*) as n, count(*) filter (where regexp_matches(text, '[؀-ۿ]'))::bigint as n_arabic, sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g')))::bigint as n_latin from documents group by 1""")
+def script_profile(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(T.has_arabic(F.col("text"), wide=False)).alias("n_arabic"), F.sum(F.char_length(F.regexp_replace("text", "[^A-Za-z]", ""))).alias("n_latin"))
+
+
+@query("select doc_id, count(*) as n_lines, count(distinct line) as n_distinct from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by 1")
+def line_counts(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return d.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.countDistinct("line").alias("n_distinct"))
+
+
+@query("""
+with s as (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g') as t from pages)
+select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) as text from s""")
+def markup_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
+
+
+@query("select event_type, count(*) as n, sum((props::json->>'k')::int)::bigint as total from events group by 1")
+def json_fields(spark, sf):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+
+
+@query("select distinct lang, source from documents order by 1, 2")
+def distinct_sorted(spark, sf):
+    return table(spark, sf, "documents").select("lang", "source").distinct().orderBy("lang", "source")
+
+
+@query("select doc_id, source from documents order by lower(source), doc_id limit 80")
+def console_cap(spark, sf):
+    from versewright.functions.patterns import CONSOLE_ISSUES
+
+    return table(spark, sf, "documents").orderBy(F.lower("source"), "doc_id").limit(CONSOLE_ISSUES).select("doc_id", "source")
+
+
+# ---- audit: what cleaning changed
+
+
+@query()
+def audit_findings(spark, sf):
+    d = _spoilt(spark, sf).withColumn("after", T.apply(T.cleaner(), F.col("text"))).withColumn("path", F.col("doc_id").cast("string"))
+    return audit.captured(d, "text", "after", F.lit("Punctuation/spacing normalization"))
+
+
+@query("select 'Bidi control removal' as label, 'characters removed' as unit, sum(length(text) - length(replace(text, chr(10), '')) + 1)::bigint as n from documents")
+def audit_totals(spark, sf):
+    mark = F.lit("\u200e")
+    spoilt = F.concat(mark, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), mark)))
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), spoilt.alias("text"))
+    return audit.totals(audit.captured(d.withColumn("after", T.BIDI.apply(F.col("text"))), "text", "after", F.lit(T.BIDI.label)))
+
+
+@query("""
+with t as (select 'p' as project, 'toc' as title_path, regexp_replace(text, '[\\s\\p{P}\\p{S}\\\\]+', '', 'g') as a, item_id from benchmark), d as (select doc_id, regexp_replace(text, '[\\s\\p{P}\\p{S}\\\\]+', '', 'g') as b from documents)
+select item_id, min(doc_id) as doc_id from t, d where length(a) >= 80 and length(b) >= 80 and (contains(b, a) or contains(a, b)) group by 1""")
+def title_duplicates(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.lit("p").alias("project"), F.col("item_id").alias("path"), "text")
+    d = table(spark, sf, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("path"), "text")
+    found = lookups.duplicated_titles(b, d, T.comparable)
+    return found.select(F.col("title_path").alias("item_id"), F.col("chunk_path").alias("doc_id"))
