@@ -12,7 +12,12 @@ RTL = r"\u0600-\u06FF\u0750-\u077F"
 DIACRITICS = r"\u064B-\u065F\u0670"
 BIDI = r"\u200e\u200f\u202a-\u202e\u2066-\u2069"
 CONTROLS = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F"
-ARABIC_LANGUAGES = ("ar", "ara", "arb", "fa", "fas", "pes", "prs", "ur", "urd", "ps", "pus", "sd", "snd", "ug", "uig", "ku", "ckb", "ks", "pnb", "bal", "khw", "kls")
+ARABIC_LANGUAGES = ("ar", "ara", "ur", "urd", "fa", "fas", "per", "pes", "ps", "pus", "sd", "snd", "pnb", "skr", "ks", "kas", "bal", "bft", "haz", "ug", "uig", "ckb")
+SENTENCE_ENDS = ".!?؟۔"
+BEFORE_OPENER = r"\r\n(\[{،,:;؛—–-"
+AFTER_CLOSER = r"\r\n)\]}،,.:;؛!?؟۔—–-"
+VERSE_BOUNDARY = ".۔!?؟:;)]\"'»”"
+MOST_VERSES = 200
 DOUBLE_OPEN, DOUBLE_CLOSE, SINGLE_OPEN, SINGLE_CLOSE = "“", "”", "’", "‘"
 STOPS = ",.;:!?،؛؟۔"
 DIFF_CELLS = 1_000_000

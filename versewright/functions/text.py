@@ -83,20 +83,8 @@ def toggled(text: Column) -> Column:
 
     An apostrophe between ASCII word characters stays.
     """
-    t = F.coalesce(text, F.lit(""))
-    chars = F.split(t, "")
-    word = lambda c: F.coalesce(c.rlike("^[A-Za-z0-9_]$"), F.lit(False))
-    near = F.transform(chars, lambda c, i: F.struct(c.alias("c"), ((c == "'") & word(F.get(chars, i - 1)) & word(F.get(chars, i + 1))).alias("inner")))
-    step = F.aggregate(
-        near, F.struct(F.lit("").alias("out"), F.lit(False).alias("d"), F.lit(False).alias("s")),
-        lambda a, x: F.struct(
-            F.concat(a["out"], F.when(x["c"] == '"', F.when(a["d"], "“").otherwise("”")).when((x["c"] == "'") & ~x["inner"], F.when(a["s"], "‘").otherwise("’")).otherwise(x["c"])).alias("out"),
-            F.when(x["c"] == '"', ~a["d"]).otherwise(a["d"]).alias("d"),
-            F.when((x["c"] == "'") & ~x["inner"], ~a["s"]).otherwise(a["s"]).alias("s"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(t.contains('"') | t.contains("'"), step).otherwise(text)
+    turn = lambda c, at, odd, even: F.array_join(F.transform(F.split(c, at), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.when(i % 2 == 1, odd).otherwise(even), x))), "")
+    return turn(turn(text, '"', "”", "“"), r"(?<![A-Za-z0-9_])'|'(?![A-Za-z0-9_])", "’", "‘")
 
 
 ARABIC_QUOTES = (Rule("straight_quotes", toggled), *quote_rules(P.DOUBLE_CLOSE, P.DOUBLE_OPEN))
