@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir (tests, a single machine).
@@ -102,29 +102,51 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(a.alias("id"), b.alias("root")).unionAll(now.select(b.alias("id"), b.alias("root"))).distinct()
 
 
-def linked(buckets: DataFrame, verify, least: float) -> DataFrame:
+#: Ids of so many rows (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def linked(buckets: DataFrame, texts: DataFrame, holds, tokens, least: float) -> DataFrame:
     """Classes of what verified pairs link: (id, root) for each id that has a link, root the smallest id.
 
-    buckets(bucket long, id long, size int): who met whom. verify turns pairs(a, b) into the pairs that hold.
-    First each member is held against the smallest id of each of its buckets. Only where a bucket still has
-    several classes are the members outside its largest class held against all its members of other classes
-    (pairs whose sizes alone rule out a similarity of ``least`` are left out), so that no link between
-    members of a bucket is missed and a bucket of similar members costs a pair each.
+    buckets(bucket long, id long, size int): who met whom; size counts an id's distinct tokens. holds is a
+    boolean UDF over two texts of texts(id, text), tokens an array<long> UDF over one; a pair that holds has
+    a Jaccard similarity of ``least`` or more between its token sets.
+
+    First each member is held against the smallest id of each of its buckets: a bucket of similar members
+    costs a pair each. Where a bucket still has several classes, the members outside its largest class are
+    held against all members of other classes that share a token of both ones' prefixes. A prefix has the
+    rarest tokens that a set can't do without: two sets of that similarity share one at least, whatever the
+    order of tokens, so no link is missed, and members that differ from all others have few partners or none.
     """
     low = stored(buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.min(F.struct("id", "size"))["size"].alias("rep_size"), F.count("*").alias("n")).where("n > 1").drop("n"), "reps")
     apart = lambda x, y: F.least(x, y) < least * F.greatest(x, y)
     met = stored(buckets.join(low, "bucket"), "met")
+    ids = stored(met.select("id").distinct(), "ids")
+    some = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        two = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        return two.where(holds("x", "y")).select("a", "b")
+
     pairs = stored(met.where((F.col("id") > F.col("rep")) & ~apart(F.col("size"), F.col("rep_size"))).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(verify(pairs), "links")
     first = stored(components(links), "classes")
 
-    of = met.select("bucket", "id", "size").join(first.withColumnRenamed("root", "r"), "id", "left").select("bucket", "id", "size", F.coalesce("r", "id").alias("root"))
-    of = stored(of, "members")
+    of = stored(met.select("bucket", "id", "size").join(first.withColumnRenamed("root", "r"), "id", "left").select("bucket", "id", "size", F.coalesce("r", "id").alias("root")), "members")
     per = of.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    top = per.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "top")
-    top = stored(top, "top")
-    out = stored(of.join(top, "bucket").where("root <> top").select("bucket", F.col("id").alias("i"), F.col("size").alias("s"), F.col("root").alias("r")), "outside")
-    cross = of.join(out, "bucket").where((F.col("root") != F.col("r")) & ~apart(F.col("size"), F.col("s")))
+    top = stored(per.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "top"), "top")
+    open_ = stored(of.join(top, "bucket").groupBy("id").agg(F.max("size").alias("size"), F.max("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("out")), "open")
+    sets = some.join(open_.select("id"), "id", "left_semi").select("id", F.explode(tokens("text")).alias("token"))
+    sets = stored(sets, "tokens")
+    often = sets.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = sets.join(often, "token").join(open_, "id")
+    w = Window.partitionBy("id")
+    need = F.ceil(least * F.col("size") - 1e-9)
+    prefix = shared.withColumn("have", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("df", "token"))).where(F.col("nth") <= F.col("have") - need + 1)
+    prefix = stored(prefix.select("id", "token", "size", "root", "out"), "prefix")
+    out = prefix.where("out").select("token", F.col("id").alias("i"), F.col("size").alias("s"), F.col("root").alias("r"))
+    cross = prefix.join(out, "token").where((F.col("root") != F.col("r")) & ~apart(F.col("size"), F.col("s")))
     cross = cross.select(F.greatest("id", "i").alias("a"), F.least("id", "i").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = stored(verify(stored(cross, "cross")), "links")
     if more.isEmpty():
