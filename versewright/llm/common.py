@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no spark.checkpoint.dir (tests, a single machine).
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 
+#: Rows that a Python worker holds at once while a table is stored.
+BATCH_ROWS = 1000
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -58,7 +61,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))  # whole texts: fewer of them at once
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table
