@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,16 +46,49 @@ LABELLERS = (
 )
 
 
+FEATURES = ("n_chars", "n_words", "n_letters", "n_upper", "n_symbols", "n_marks", "n_stops", "n_odd", "n_odd_ends", "n_lines", "n_dup_lines")
+_LETTER, _UPPER, _BLANK, _MARK, _STOP, _SYMBOL, _ODD, _PLAIN = range(8)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of each code point, from its Unicode category."""
+    out = np.full(0x110000, _ODD, np.uint8)
+    for c in range(0x110000):
+        category = unicodedata.category(chr(c))
+        if category[0] == "L":
+            out[c] = _UPPER if category == "Lu" else _LETTER
+        elif category[0] in "NM":
+            out[c] = _PLAIN
+        elif chr(c).isspace():
+            out[c] = _BLANK
+    for chars, kind in ((",;:'\"()-", _PLAIN), (".?", _STOP), ("!", _MARK), ("#*$%&|<>", _SYMBOL)):
+        for c in chars:
+            out[ord(c)] = kind
+    return out
+
+
+def counts(text: str) -> tuple[int, ...]:
+    """FEATURES of a text, from one pass over the kinds of its characters."""
+    k = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    n = np.bincount(k, minlength=8).tolist()
+    blank = k == _BLANK
+    ends = np.r_[blank[1:], True] & ~blank if len(k) else blank
+    odd = (k == _SYMBOL) | (k == _MARK) | (k == _ODD)
+    lines = [x for x in text.split("\n") if x.strip()]
+    return (
+        len(k), int(ends.sum()), n[_LETTER] + n[_UPPER], n[_UPPER], n[_SYMBOL], n[_MARK], n[_STOP], int(odd.sum()), int((odd & ends).sum()), len(lines), len(lines) - len(set(lines)),
+    )
+
+
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the struct ``__f`` of counts that the labellers read; a null text counts as empty."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    gone = lambda pattern: (F.char_length(t) - F.char_length(F.regexp_replace(t, pattern, ""))).cast("long")
-    d = docs.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
-    return d.withColumn("__f", F.struct(
-        F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).alias("n_words"), gone(r"\p{L}+").alias("n_letters"), gone(r"\p{Lu}+").alias("n_upper"), gone(r"[#*$%&|<>]+").alias("n_symbols"),
-        gone(r"!+").alias("n_marks"), F.char_length(t).alias("n_chars"), gone(r"[^\p{L}\p{N}\p{M}\s.,;:?'\"()-]+").alias("n_odd"),
-        gone(r"[^\p{L}\p{N}\p{M}\s.,;:?'\"()-](?=\s|$)").alias("n_odd_ends"), gone(r"[.?]+").alias("n_stops"), F.size("__lines").alias("n_lines"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
-    )).drop("__lines")
+
+    @F.pandas_udf(", ".join(f"{f} long" for f in FEATURES))
+    def count(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(t) for t in s], columns=FEATURES)
+
+    return docs.withColumn("__f", count(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def votes(docs: DataFrame, labellers: tuple[Labeller, ...] = LABELLERS, text_col: str = "text") -> DataFrame:
