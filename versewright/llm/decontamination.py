@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A window of a document that is similar enough to an item shares a shingle with it, so windows are laid only
-where a document has a shingle of some item (no window is lost by that). Each window and item has a 64-bit
+A window of a document that is similar enough to an item has at least so many of its shingles, in whatever
+order, as the similarity asks for. Windows are laid at every start that reaches this number (no window is lost
+by that); a document shorter than the item is one window. Each window and item has a 64-bit
 SimHash over its weighted shingles. Fingerprints meet through multi-index blocks: 64 bits in radius + 1
 blocks, so two fingerprints within the radius agree on a block at least; what is within the radius is then
 verified by exact weighted-shingle similarity. All of it is DataFrame expressions.
@@ -63,7 +64,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): each document and item with a window of the item's
-    length in words whose similarity is ``least`` or more; the best window, the first of equals.
+    length in words, or the whole of a shorter document, whose similarity is ``least`` or more; the best window,
+    the first of equals.
 
     Items of fewer than k words have no shingles and match nothing, like null texts. Items with equal text
     all match. Rows with the same id are one document here; a null id is an id like another. Repeated rows
@@ -71,32 +73,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least:
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w")).where(F.size("w") >= k).select("item_id", F.size("w").alias("size"), _hashes(F.col("w"), k).alias("h"), _shingles(F.col("w"), k).alias("sh"))
     items = stored(items.select("item_id", "size", "h", "sh", simhash(F.col("h")).alias("print")), "items")
-    anchors = stored(items.select("size", F.posexplode("h").alias("off", "hash")).distinct(), "anchors")
+    anchors = stored(items.select("size", F.explode("h").alias("hash")).distinct(), "anchors")
     rows = anchors.count()
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    d = texts.select("doc_id", words(F.col("text")).alias("w"))
-    d = d.select("doc_id", F.size("w").alias("n"), _hashes(F.col("w"), k).alias("h"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+    d = texts.select("doc_id", "key", words(F.col("text")).alias("w"))
+    d = d.select("doc_id", "key", F.size("w").alias("n"), _hashes(F.col("w"), k).alias("h"))
     # outer: else a filter on the array goes down to where its expression is worked out again for each place
-    at = d.select("doc_id", "n", F.posexplode_outer("h").alias("pos", "hash"))
+    at = d.select("doc_id", "key", "n", F.posexplode_outer("h").alias("pos", "hash"))
     hits = at.join(F.broadcast(anchors) if rows <= BROADCAST_ROWS else anchors, "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("size")))
-    windows = stored(hits.where(F.col("n") >= F.col("size")).select("doc_id", start.alias("start"), "size").distinct(), "windows")
-
-    has = windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("at"))  # windows of one document
-    there = texts.join(has, texts["doc_id"].eqNullSafe(has["doc_id"])).select(texts["doc_id"], words(F.col("text")).alias("w"), "at")
-    there = there.select("doc_id", "w", F.explode("at").alias("at")).where(F.col("at.start") + F.col("at.size") <= F.size("w"))
-    there = there.select("doc_id", "at.start", "at.size", F.slice("w", F.col("at.start") + 1, F.col("at.size")).alias("w"))
-    there = there.select("doc_id", "start", "size", _shingles(F.col("w"), k).alias("sh"), _hashes(F.col("w"), k).alias("h"))
-    prints = stored(there.select("doc_id", "start", "size", "sh", "h", simhash(F.col("h")).alias("print")).distinct(), "prints")  # h twice, else it's worked out again for each bit
+    places = hits.groupBy("doc_id", "key", "n", "size").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    span = F.least(F.col("n"), F.col("size"))  # words of a window
+    # common / (a + b - common) >= least, for a shingles of the window and b of the item
+    need = F.greatest(F.lit(1), F.ceil(least * (span + F.col("size") - 2 * (k - 1)) / (1 + least) - 1e-9).cast("int"))
+    # need places of shingles from the i-th on lie in a window that starts at or before the i-th and ends with or after the last of them
+    low = lambda i: F.greatest(F.lit(0), F.get("p", i + F.col("need") - 1) - F.col("span") + k)
+    high = lambda i: F.least(F.get("p", i), F.col("n") - F.col("span"))
+    starts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>"))))
+    windows = places.select("*", span.alias("span"), need.alias("need")).where(F.size("p") >= F.col("need"))
+    windows = stored(windows.select("doc_id", "key", "size", "span", F.array_distinct(starts).alias("starts")), "windows")
+
+    has = windows.select(F.col("doc_id").alias("d"), F.col("key").alias("y"), "size", "span", "starts")
+    has = has.groupBy("d", "y").agg(F.collect_list(F.struct("size", "span", "starts")).alias("at"))  # windows of one text
+    there = texts.join(has, texts["doc_id"].eqNullSafe(has["d"]) & (texts["key"] == has["y"]))
+    there = there.select("doc_id", words(F.col("text")).alias("w"), "at").select("doc_id", "w", F.explode("at").alias("at"))
+    there = there.select("doc_id", "w", "at.size", "at.span", F.explode("at.starts").alias("start"))
+    there = there.select("doc_id", "start", "size", F.slice("w", F.col("start") + 1, F.col("span")).alias("w"), "span")
+    there = there.select("doc_id", "start", "size", "span", _shingles(F.col("w"), k).alias("sh"), _hashes(F.col("w"), k).alias("h"))
+    prints = stored(there.select("doc_id", "start", "size", "span", "sh", "h", simhash(F.col("h")).alias("print")).distinct(), "prints")  # h twice, else it's worked out again for each bit
 
     mine = prints.select("doc_id", "start", "size", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("doc_id", "start", "size", "print", "b.*")
     theirs = items.select("item_id", "size", F.col("print").alias("other"), F.explode(blocks(F.col("print"), radius)).alias("b")).select("item_id", "size", "other", "b.*")
     near = mine.join(theirs, ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= radius)
     near = near.select("doc_id", "start", "size", "print", "item_id").distinct()
     found = near.join(items.select("item_id", "size", F.col("sh").alias("theirs")), ["item_id", "size"])
-    found = found.join(prints.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("size").alias("z"), "sh"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")) & (F.col("size") == F.col("z")))
-    found = found.select("doc_id", "item_id", "start", "size", similarity(F.col("sh"), F.col("theirs")).alias("sim")).where(F.col("sim") >= least)
+    found = found.join(prints.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("size").alias("z"), "span", "sh"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")) & (F.col("size") == F.col("z")))
+    found = found.select("doc_id", "item_id", "start", F.col("span").alias("size"), similarity(F.col("sh"), F.col("theirs")).alias("sim")).where(F.col("sim") >= least)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("sim", (-F.col("start")).alias("neg"), "size")).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.neg")).alias("start_word"), F.col("x.size").alias("n_words"), F.col("x.sim").alias("similarity"))
 
