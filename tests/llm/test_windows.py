@@ -38,3 +38,9 @@ def test_parts_in_another_order(spark):
     items = {1: ITEM, 2: ITEM[:40], 3: ["same"] * 30, 4: around(40), 5: ITEM[29:] + ITEM[:29]}
     got = _check(spark, docs, items)
     assert (3, 1) in got and (12, 1) in got and (13, 1) not in got
+
+
+def test_documents_shorter_than_the_item(spark):
+    docs = {1: ITEM[:-1], 2: ITEM[1:-1], 3: ITEM[:50], 4: ITEM[:45], 5: ITEM[:4], 6: ITEM[3:], 7: ITEM[:-1] + ITEM[:1]}
+    got = _check(spark, docs, {1: ITEM, 2: ITEM[:12]})
+    assert (1, 1) in got and (4, 1) not in got and not any(i == 5 for i, _ in got)
