@@ -1,0 +1,8 @@
+"""Keys are built over whole texts, past character 40 too."""
+
+from versewright.plans import catalog
+
+
+def test_digits_past_character_40(spark, tmp_path):
+    spark.createDataFrame([(1, "a b," * 15 + "7.", 62)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.queries()["digits_and_keys_whole"](spark, str(tmp_path)).select("doc_id", "key", "number").collect()] == [(1, "ab" * 15 + "۷", 62)]
