@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, a single machine).
-DEFAULT_SHARED = "file:///tmp/checkpoints"
-
 #: Rows that a Python worker holds at once while a table is stored.
 BATCH_ROWS = 1000
 
@@ -18,13 +15,16 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; the session's setting wins."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or on a single machine the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-    return DEFAULT_SHARED
+    if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return at if "://" in at or at.startswith("file:") else f"file://{at}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -114,50 +114,58 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 #: Ids of so many rows (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Rounds of leaders after which linked() gives up with an error. Each takes a member at least from every bucket.
+ROUNDS = 200
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A stored table, marked for a broadcast if it has no more than BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-def linked(buckets: DataFrame, texts: DataFrame, holds, tokens, least: float) -> DataFrame:
+
+def linked(buckets: DataFrame, nodes: DataFrame, holds, rekey, apart) -> DataFrame:
     """Classes of what verified pairs link: (id, root) for each id that has a link, root the smallest id.
 
-    buckets(bucket long, id long, size int): who met whom; size counts an id's distinct tokens. holds is a
-    boolean UDF over two texts of texts(id, text), tokens an array<long> UDF over one; a pair that holds has
-    a Jaccard similarity of ``least`` or more between its token sets.
+    buckets(bucket long, id long, size int, bits long): who met whom, distinct. nodes(id, x): what holds(x, y), a
+    boolean UDF, compares; rekey(x, round) is an array<long> UDF of further sketches. apart(size, bits, size, bits)
+    is a column that is true where two ids surely don't hold; it only saves work.
 
-    First each member is held against the smallest id of each of its buckets: a bucket of similar members
-    costs a pair each. Where a bucket still has several classes, the members outside its largest class are
-    held against all members of other classes that share a token of both ones' prefixes. A prefix has the
-    rarest tokens that a set can't do without: two sets of that similarity share one at least, whatever the
-    order of tokens, so no link is missed, and members that differ from all others have few partners or none.
+    It goes in rounds of leaders. In each, every member of a bucket is held against the bucket's leader, the
+    member with the most company (the sum of its buckets' sizes, then the smallest id): the original among its
+    copies, as a rule. A round so has no more pairs than members, whatever the size of a bucket. Members that
+    don't hold go on, in buckets parted by further independent sketches (two in the second round, one in each
+    later one), so that unlike members leave each other and like ones stay together with the chance of an
+    agreeing sketch. It ends when no bucket has two members. No member is dropped, no bucket capped.
     """
-    low = stored(buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.min(F.struct("id", "size"))["size"].alias("rep_size"), F.count("*").alias("n")).where("n > 1").drop("n"), "reps")
-    apart = lambda x, y: F.least(x, y) < least * F.greatest(x, y)
-    met = stored(buckets.join(low, "bucket"), "met")
-    ids = stored(met.select("id").distinct(), "ids")
-    some = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        two = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return two.where(holds("x", "y")).select("a", "b")
-
-    pairs = stored(met.where((F.col("id") > F.col("rep")) & ~apart(F.col("size"), F.col("rep_size"))).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stored(verify(pairs), "links")
-    first = stored(components(links), "classes")
-
-    of = stored(met.select("bucket", "id", "size").join(first.withColumnRenamed("root", "r"), "id", "left").select("bucket", "id", "size", F.coalesce("r", "id").alias("root")), "members")
-    per = of.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    top = stored(per.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "top"), "top")
-    open_ = stored(of.join(top, "bucket").groupBy("id").agg(F.max("size").alias("size"), F.max("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("out")), "open")
-    sets = some.join(open_.select("id"), "id", "left_semi").select("id", F.explode(tokens("text")).alias("token"))
-    sets = stored(sets, "tokens")
-    often = sets.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = sets.join(often, "token").join(open_, "id")
-    w = Window.partitionBy("id")
-    need = F.ceil(least * F.col("size") - 1e-9)
-    prefix = shared.withColumn("have", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("df", "token"))).where(F.col("nth") <= F.col("have") - need + 1)
-    prefix = stored(prefix.select("id", "token", "size", "root", "out"), "prefix")
-    out = prefix.where("out").select("token", F.col("id").alias("i"), F.col("size").alias("s"), F.col("root").alias("r"))
-    cross = prefix.join(out, "token").where((F.col("root") != F.col("r")) & ~apart(F.col("size"), F.col("s")))
-    cross = cross.select(F.greatest("id", "i").alias("a"), F.least("id", "i").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(verify(stored(cross, "cross")), "links")
-    if more.isEmpty():
-        return first
-    return stored(components(links.unionByName(more)), "classes")
+    per = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(buckets.join(per, "bucket"), "met")
+    weight = met.groupBy("id").agg(F.sum("n").alias("weight"))
+    open_ = stored(met.drop("n").join(weight, "id"), "open")
+    ids = stored(weight.select("id"), "ids")
+    some = stored(nodes.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "nodes")
+    drop_stored(met, ids)
+
+    links = None
+    for no in range(ROUNDS):
+        lead = open_.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"), "size", "bits")).alias("l"), F.count("*").alias("n")).where("n > 1")
+        lead = lead.select("bucket", (-F.col("l.neg")).alias("lead"), F.col("l.size").alias("lead_size"), F.col("l.bits").alias("lead_bits"))
+        rest = stored(open_.join(lead, "bucket").where("id <> lead"), "rest")
+        drop_stored(open_)
+        if rest.isEmpty():
+            break
+        pairs = rest.where(~apart(F.col("size"), F.col("bits"), F.col("lead_size"), F.col("lead_bits"))).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+        two = stored(pairs, "pairs").join(some.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").join(some.select(F.col("id").alias("a"), "x"), "a")
+        new = stored(two.where(holds("x", "y")).select("a", "b"), "links")
+        links = new if links is None else links.unionByName(new)
+        left = rest.join(new.select(F.col("a").alias("id"), F.col("b").alias("lead")), ["id", "lead"], "left_anti")
+        left = stored(left.select("bucket", "id", "size", "bits", "weight"), "left")
+        drop_stored(rest)
+        whose = stored(left.select("id").distinct(), "whose")
+        keys = some.join(small(whose), "id", "left_semi").select("id", rekey("x", F.lit(no)).alias("k"))
+        parts = left.join(stored(keys, "keys"), "id").select("*", F.posexplode("k").alias("i", "h")).select(F.xxhash64("bucket", "i", "h").alias("bucket"), "id", "size", "bits", "weight")
+        open_ = stored(parts, "open")
+        drop_stored(left, whose)
+    else:
+        raise RuntimeError("linked: members left after the last round")
+    none = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return stored(components(none if links is None else links), "classes")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a Python worker keeps.
-KEPT = 200_000
+KEPT = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
