@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .pieces import load, runs
 
-#: Pre-tokens whose counts a Python worker keeps.
-KEPT = 1_000_000
+#: Pre-tokens whose counts a Python worker keeps: two generations of so many, some 60 MB in all.
+KEPT = 250_000
 NONE = 2**30
 
 
@@ -25,6 +25,7 @@ class Counter(dict):
         import numpy as np
 
         super().__init__()
+        self.old: dict[str, int] = {}
         self.np, self.p = np, load(path)
         ids, rank = self.p.ids, self.p.rank
         self.symbol = np.full(0x110000, -1, np.int32)
@@ -109,8 +110,12 @@ class Counter(dict):
         for lo, hi in runs(texts):
             split = [self.p.split(t) for t in texts[lo:hi]]
             if len(self) > KEPT:
+                self.old = self.copy()
                 self.clear()
-            new = list(set().union(*split).difference(self))
+            new = set().union(*split).difference(self)
+            again = new & self.old.keys()
+            self.update((u, self.old[u]) for u in again)
+            new = list(new - again)
             parts = [self.p.cut(u) if len(u) > 48 else [u] for u in new]
             flat = [x for p in parts for x in p]
             counts = self.merge(flat).tolist() if flat else []
