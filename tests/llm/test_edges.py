@@ -61,8 +61,8 @@ def test_defined_results(spark, docs, bench):
     assert c[1] == c[2] == 1 and c[3] == 3 and c[4] == 4
     hit = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()}
     assert hit == {(5, 1), (5, 4), (6, 1), (6, 4)}
-    rep = {(r["doc_id"], r["para_no"]): r["kept"] for r in substring_dedup.repeats(docs).collect()}
-    assert rep == {(5, 0): True, (6, 0): False}
+    rep = {(r["doc_id"], r["start_word"], r["n_words"]): r["kept"] for r in substring_dedup.repeats(docs).collect()}
+    assert rep == {(5, 0, 60): True, (6, 2, 60): False}
     s = {r["doc_id"]: r for r in secret_scan.report(docs).collect()}
     assert (s[8]["n_assign"], s[8]["n_access"], s[8]["n_hex"]) == (1, 1, 1) and s[1]["spans"] == ""
     q = {r["doc_id"]: r for r in quality_rules.verdicts(docs).collect()}

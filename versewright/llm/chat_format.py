@@ -13,6 +13,7 @@ and each block is then repaired between its two ends.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -106,9 +107,19 @@ def _open(role: int) -> str:
 CLOSE = "<|end|>\n"
 
 
+def escaped(text: str) -> str:
+    """A text whose markers are no markers any more: "<|" gets a backslash inside, one more where it has some already,
+    so that taking one out again gives the text back."""
+    return _MARK.sub(r"<\\\1|", text)
+
+
+_MARK = re.compile(r"<(\\*)\|")
+
+
 def rendered(choice: tuple[str, int, tuple[int, ...]], text: str, first: bool) -> str:
     """What a turn adds to the rendering: the end of the turn before it (if it isn't merged into it), empty turns, its text."""
     action, role, way = choice
+    text = escaped(text)
     if action in ("merge", "relabel_merge"):
         return "\n" + text
     return ("" if first else CLOSE) + "".join(_open(x) + CLOSE for x in way) + _open(role) + text
@@ -125,18 +136,19 @@ SCHEMA = "conv_id long, turn long, role string, new_role string, action string,
 def repaired(conversations: DataFrame, shuffle_partitions: int | None = None) -> DataFrame:
     """(conv_id, turn, role, new_role, action, inserted, rendered) of each turn.
 
-    The turns' ``rendered``, joined in the order of turn, role and text, are the conversation's rendering.
+    The turns' ``rendered``, joined in the order of turn, role and text, are the conversation's rendering; markers
+    inside texts are escaped (escaped()), so a text can't open or close a turn.
     ``inserted``: roles of the empty turns before this one, joined by commas (after it, behind a bar, for the
-    last one). Turns with equal numbers stand in the order of role and text; a null turn number comes first,
-    a null role is relabelled, a null text is empty. Rows with a null conv_id are one conversation. Repeated
+    last one). Turns with equal numbers stand in the order of role (null before empty) and of the
+    text's 64-bit digest, wherever partitions end; a null turn number comes first, a null role is relabelled, a null text is empty. Rows with a null conv_id are one conversation. Repeated
     rows are turns of their own. Other columns are not read.
     """
     spark = conversations.sparkSession
     spark.sparkContext.setCheckpointDir(shared_dir(spark)) if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
     d = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    order = ["conv_id", "turn", F.coalesce("role", F.lit("")), F.xxhash64("text")]
+    order = ["conv_id", "turn", F.coalesce("role", F.lit("")), F.col("role").isNotNull(), F.xxhash64("text")]  # one order, for parts and within them
     d = d.repartitionByRange(shuffle_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-    d = d.sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), "text").checkpoint()
+    d = d.sortWithinPartitions(*order, "text").checkpoint()
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, list[tuple]]]:
         """Runs of one conversation in this partition; a run is held, a partition is not."""

@@ -39,9 +39,13 @@ RULES = (
     Rule(2, "symbols", "100 * n_symbols > 30 * n_words"),
     Rule(3, "repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 40 * n_lines"),
     Rule(4, "word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 16 * n_words)"),
+    Rule(5, "bullets", "n_lines >= 4 and 100 * n_bullet_lines > 90 * n_lines"),
+    Rule(6, "cut_lines", "n_lines >= 4 and 100 * n_cut_lines > 30 * n_lines"),
+    Rule(7, "few_letters", "100 * n_letter_words < 80 * n_words"),
 )
 BASE = Policy("base", ("few_words", "repeated_words"))
-STRICT = Policy("v1", tuple(r.name for r in RULES))
+STRICT = Policy("v1", ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length"))
+LAYOUT = Policy("v2", tuple(r.name for r in RULES))
 
 
 def measure(docs: DataFrame, text_col: str = "text", k: int = 5) -> DataFrame:
@@ -73,6 +77,9 @@ def measure(docs: DataFrame, text_col: str = "text", k: int = 5) -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.size(F.filter("__lines", lambda x: x.rlike(r"^[ \t-\r]*[-*•]"))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("__lines", lambda x: x.rlike(r"(?:\.\.\.|…)[ \t-\r]*$"))).cast("long").alias("n_cut_lines"),
+        F.size(F.filter("__words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
     )
     return d.withColumn("measures", measures).drop("__words", "__lines", "__h", "__w", "__s", "__p")
 
@@ -102,7 +109,12 @@ def passes(policy: Policy, rules: tuple[Rule, ...] = RULES, bits: Column | None
     return (F.col("fail_bits") if bits is None else bits).bitwiseAND(F.lit(mask(policy, rules)).cast("long")) == 0
 
 
-def ablation(stored: DataFrame, policies: tuple[Policy, ...] = (BASE, STRICT), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def applied(stored: DataFrame, policies: tuple[Policy, ...] = (BASE, STRICT, LAYOUT), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """A stored ledger with a boolean column kept_<version> for each policy: versions are compared without a text being read."""
+    return stored.select("*", *[passes(p, rules).alias(f"kept_{p.version}") for p in policies])
+
+
+def ablation(stored: DataFrame, policies: tuple[Policy, ...] = (BASE, STRICT, LAYOUT), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each policy and rule of it: documents that fail the rule, that fail it alone, and what is kept without it.
 
     The ledger is first counted by its bits, of which there are at most 2^rules, before anything is joined.
@@ -132,5 +144,6 @@ def keep(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     below them, it would work the arrays of words out again for each window.
     """
     cols = docs.columns
-    d = ledger(docs).withColumn("__at", F.monotonically_increasing_id())
-    return d.where(passes(BASE) & passes(policy) & (F.col("__at") >= 0)).select(*[F.col(f"`{c}`") for c in cols])
+    rules = tuple(r for r in RULES if r.name in (*BASE.rules, *policy.rules))
+    d = ledger(docs, rules).withColumn("__at", F.monotonically_increasing_id())
+    return d.where(passes(BASE, rules) & passes(policy, rules) & (F.col("__at") >= 0)).select(*[F.col(f"`{c}`") for c in cols])

@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import found
+    from .substring_dedup import repeats
 
-    return found(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +84,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+_WORD, _BLANK = "[^\\x20\\x09-\\x0D]", "[\\x20\\x09-\\x0D]"
+
+_OP8 = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+s as (select r, doc_id, t, regexp_extract_all(t, '{_WORD}+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as l from d),
+e as (select r, unnest(w) as word, unnest(range(len(w))) as i from s),
+g as (select r, i, word, lead(word, 1) over o as w1, lead(word, 2) over o as w2, lead(word, 3) over o as w3, lead(word, 4) over o as w4 from e window o as (partition by r order by i)),
+c as (select r, i, count(*) over (partition by r, word, w1, w2, w3, w4) as n from g where w4 is not null),
+p as (select r, count(distinct j) as n from (select r, unnest(range(i, i + 5)) as j from c where n > 1) group by r),
+m as (select s.r, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+ len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(p.n, 0)::bigint as n_repeat_words,
+ len(list_filter(l, lambda x: regexp_matches(x, '^{_BLANK}*[-*•]')))::bigint as n_bullet_lines, len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…){_BLANK}*$')))::bigint as n_cut_lines, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}')))::bigint as n_letter_words
+ from s left join p on p.r = s.r),
+b as (select *, (n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (100 * n_symbols > 30 * n_words)::int + 8 * (n_lines >= 4 and 100 * n_dup_lines > 40 * n_lines)::int
+ + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 16 * n_words))::int + 32 * (n_lines >= 4 and 100 * n_bullet_lines > 90 * n_lines)::int + 64 * (n_lines >= 4 and 100 * n_cut_lines > 30 * n_lines)::int + 128 * (100 * n_letter_words < 80 * n_words)::int as bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 as base_failed, (bits & 31) = 0 as kept, bits::bigint as fail_bits from b"""
+
+_OP9 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+k as (select *, min(page_id) over (partition by h) as f, array_to_string(list_transform(string_split(upper(sha1(h)), ''), lambda c: right('000' || bin(strpos('0123456789ABCDEF', c) - 1), 4)), '') as bits from p)
+select page_id, octet_length(encode(h))::bigint as payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: (substr(bits, (5 * i + j + 1)::bigint, 1) = '1')::int * [16, 8, 4, 2, 1][j + 1]))::bigint, 1)), '') as payload_digest,
+ case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to from k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators have no SQL form (sketches, models, tokenizers, automata): tests hold them against brute force."""
+    return {"op8_quality_rules": _OP8, "op9_zip_warc": _OP9}

@@ -10,6 +10,7 @@ posteriors of a bounded sample and scores every whole text.
 from __future__ import annotations
 
 import math
+import uuid
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -182,7 +183,8 @@ def fit(rows: list[tuple[dict[int, float], float]], epochs: int = 30, rate: floa
 
 
 def train(docs: DataFrame, labellers: tuple[Labeller, ...] = LABELLERS, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
-    """(weights, bias, accuracies, share of good): votes of all documents, features of ``sample`` of them.
+    """(weights, bias, accuracies, share of good): votes of all documents, features of ``sample`` of them,
+    chosen by a digest of id and text (rows equal in both count once).
 
     To the driver come the counts of vote patterns, at most 3 to the number of labellers, and the features
     of the sample.
@@ -203,9 +205,10 @@ def train(docs: DataFrame, labellers: tuple[Labeller, ...] = LABELLERS, sample:
         return pd.DataFrame(rows, columns=["at", "x"])
 
     d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    ids = d.select("__id").where(F.col("__id").isNotNull()).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    some = votes(d.join(F.broadcast(ids), "__id", "left_semi"), labellers)  # ``sample`` rows at most
-    got = some.select("votes", featured(F.coalesce("text", F.lit(""))).alias("f")).select("votes", "f.*").limit(2 * sample).collect()
+    key = F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    ids = d.select(key.alias("__k")).distinct().orderBy("__k").limit(sample)
+    some = votes(d.withColumn("__k", key).join(F.broadcast(ids), "__k", "left_semi").dropDuplicates(["__k"]), labellers)  # ``sample`` rows at most
+    got = some.select("votes", featured(F.coalesce("text", F.lit(""))).alias("f")).select("votes", "f.*").collect()
     w, b = fit([(dict(zip(r["at"], r["x"])), post[r["votes"]]) for r in got if r["at"]])
     return w, b, accuracy, good
 
@@ -222,7 +225,7 @@ def scored(docs: DataFrame, model=None, least: float = 0.5, id_col: str = "doc_i
     w, b, *_ = model or train(docs, id_col=id_col, text_col=text_col)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(np.asarray(w, np.float32))  # BUCKETS floats
-    name = f"{id(sent)}-{b!r}"
+    name = uuid.uuid4().hex  # of this model: a worker that has another one's scorer makes a new one
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:

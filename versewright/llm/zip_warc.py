@@ -1,9 +1,10 @@
 """WARC records in ZIP-packaged archives, read by ranges.
 
-An archive is a ZIP file with two stored members: archive/data.warc.gz (each record a gzip member of its
-own) and indexes/index.cdxj (a line for each record with its offset and length). The reader parses the
-ZIP's central directory, also the ZIP64 one, finds where stored members begin, and reads single records as
-byte ranges of the file: nothing is extracted.
+An archive is a ZIP file with stored members: archive/data.warc.gz (each record a gzip member of its own),
+indexes/index.cdxj (for each record a line of its url's key, its time, and JSON with file, offset and length,
+sorted) and datapackage.json (names, sizes and digests of the others). The reader parses the ZIP's central
+directory, also the ZIP64 one, finds where stored members begin, and reads single records as byte ranges of
+the file: nothing is extracted. It takes any number of indexes and of data files in an archive.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, stored
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 #: An archive is closed when its data have so many bytes.
 ARCHIVE_BYTES = 32 << 20
 #: Up to so many groups of equal payloads are broadcast (40 bytes each); more are joined by a shuffle.
@@ -169,6 +171,27 @@ def parse(member: bytes) -> dict:
     return out | {"payload": payload, "payload_bytes": len(payload)}
 
 
+# ---- index and package
+
+
+def url_key(url: str | None) -> str:
+    """The key that an index sorts by: host parts from the end, joined by commas, then path and query, in small letters."""
+    p = urlsplit((url or "about:blank").replace("\n", "").lower())
+    host = ",".join(reversed((p.hostname or "").removeprefix("www.").split("."))) if p.netloc else p.scheme
+    return quote(f"{host}){p.path or '/'}" + (f"?{p.query}" if p.query else ""), safe="):/?#[]@!$&(*+,;=%~'")
+
+
+def index_line(page: int | None, url: str | None, digest: str, response: bool, offset: int, length: int) -> str:
+    about = {"url": url, "mime": "text/html" if response else "warc/revisit", "status": "200", "digest": f"sha1:{digest}", "length": str(length), "offset": str(offset), "filename": DATA.rpartition("/")[2], "record": _urn(page)}
+    return f"{url_key(url)} {re.sub('[^0-9]', '', DATE)} {json.dumps(about)}"
+
+
+def package(members: list[tuple[str, bytes]]) -> bytes:
+    """The descriptor of an archive's members."""
+    named = [{"name": n.rpartition("/")[2], "path": n, "hash": f"sha256:{hashlib.sha256(d).hexdigest()}", "bytes": len(d)} for n, d in members]
+    return json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": named}, indent=1).encode()
+
+
 # ---- Spark
 
 
@@ -204,7 +227,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
             path = f"{root}/{uuid.uuid4().hex}.wacz"
             size = 0
             with store.open_output_stream(path) as out:
-                for part in zip_file([(DATA, bytes(data)), (INDEX, "\n".join(index).encode())]):
+                members = [(DATA, bytes(data)), (INDEX, ("\n".join(sorted(index)) + "\n").encode())]
+                for part in zip_file([*members, (PACKAGE, package(members))]):
                     out.write(part)
                     size += len(part)
             row = pd.DataFrame([(path, len(index), size)], columns=["path", "records", "bytes"])
@@ -215,8 +239,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
         for pdf in batches:
             for page, url, html, first, response in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["first"], pdf["response"]):
                 page, first = (None if pd.isna(x) else int(x) for x in (page, first))
-                member = record(page, url, html.encode("utf-8", "surrogatepass"), first, bool(response))
-                index.append(json.dumps({"offset": len(data), "length": len(member)}))
+                payload = html.encode("utf-8", "surrogatepass")
+                member = record(page, url, payload, first, bool(response))
+                index.append(index_line(page, url, digest32(payload), bool(response), len(data), len(member)))
                 data += member
                 if len(data) >= archive_bytes:
                     yield close()
@@ -229,7 +254,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """Records of archives(path), each read as a range: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]."""
+    """Records of archives(path), each read as a range, urls as they were given: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]."""
     fields = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,10 +270,11 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, payload
                         return f.read(length)
 
                     z = ZipReader(at, f.size())
-                    start, _ = z.place(DATA)
-                    lines = at(*z.place(INDEX)).decode().split("\n")
+                    starts = {n.rpartition("/")[2]: z.place(n)[0] for n in z.members if n.startswith("archive/") and n.endswith(".warc.gz")}
+                    lines = [x for n in sorted(z.members) if n.startswith("indexes/") and n.endswith(".cdxj") for x in at(*z.place(n)).decode().split("\n") if x]
                     for lo in range(0, len(lines), 1000):
-                        rows = [parse(at(start + x["offset"], x["length"])) for x in map(json.loads, lines[lo : lo + 1000])]
+                        about = [json.loads(x.split(" ", 2)[2]) for x in lines[lo : lo + 1000]]
+                        rows = [parse(at(starts[x["filename"]] + int(x["offset"]), int(x["length"]))) | {"url": x["url"]} for x in about]
                         out = pd.DataFrame(rows, columns=fields)
                         for c in ("page_id", "refers_to"):
                             out[c] = pd.array([r[c] for r in rows], dtype="Int64")
