@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from versewright.functions import text as T
 from versewright.operators import audit, lookups, projects, sequences, usfm
 from versewright.sinks import files as sinks
 from versewright.sources import files as sources
@@ -12,10 +13,45 @@ def rows(df):
 
 
 def test_edits():
-    assert audit.edits("a  b", "a b") == [(1, 3, " ", "", "a  b", "a b", False)]
-    assert audit.edits("x\nay", "x\nby") == [(2, 1, "a", "b", "ay", "by", False)]
-    assert audit.edits("same", "same") == []
-    assert audit.edits("a" * 1500, "b" * 1500)[0][-1] is True
+    at = lambda *x: audit.edits("f/3/1.txt", "some stage", *x)
+    assert at("a  b", "a b") == [(1, 3, "3:heading", " ", "", "a  b", "a b", "some stage")]
+    assert at("\\c 2\n\\v 7 ay", "\\c 2\n\\v 7 by") == [(2, 6, "2:7", "a", "b", "\\v 7 ay", "\\v 7 by", "some stage")]
+    assert at("same", "same") == []
+    assert at("a" * 1500, "b" * 1500)[0][-1] == audit.COMBINED
+    assert [e[3:5] for e in at("xabcy", "xbdcy")] == [("a", ""), ("", "d")]
+    assert [e[3:5] for e in audit.edits("p", audit.CHAPTER_MARKERS, "\\c 1 one \\c 2 two", "one two")] == [("\\c 1 ", ""), ("\\c 2 ", "")]
+    assert audit.edits("p", "s", "\\v 4 a \\f + b c", "\\v 4 a \\f + b d")[0][2] == "unspecified chapter:4 (footnote)"
+
+
+def test_fewest_edits():
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randrange(12))) for _ in range(2))
+        out, i, edits = [], 0, audit.changes(a, b)
+        for at, n, to, m in edits:
+            assert out.append(a[i:at]) is None and len("".join(out)) == to
+            out.append(b[to : to + m])
+            i = at + n
+        assert "".join(out) + a[i:] == b
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x, c in enumerate(a):
+            for y, d in enumerate(b):
+                t[x + 1][y + 1] = t[x][y] + 1 if c == d else max(t[x][y + 1], t[x + 1][y])
+        assert sum(n + m for _, n, _, m in edits) == len(a) + len(b) - 2 * t[-1][-1]
+
+
+def test_report(spark):
+    d = spark.createDataFrame([("r/1/2.txt", "a  b۔۔"), ("r/1/1.txt", "x ,y")], "path string, text string")
+    f = audit.trail(d, T.cleaner()).unionByName(audit.reviewed(d))
+    rows = audit.in_report_order(f).collect()
+    assert [(r["path"], r["type"]) for r in rows] == [("r/1/1.txt", "Space before punctuation"), ("r/1/2.txt", "Repeated inline spaces"), ("r/1/2.txt", "Repeated punctuation")]
+    assert [r["quantity"] for r in audit.report_rows(f).orderBy("section", "row_no").collect()] == ["1 spaces removed", "1 spaces removed", "2 characters flagged"]
+    files = spark.createDataFrame([(2, 2)], "files_scanned int, files_changed int")
+    assert [r["line"] for r in audit.summary(f, files).orderBy("line_no").collect()] == ["Files scanned: 2", "Files changed: 2", "Affected text lines (stage-local): 2", "Human-review findings: 1", "Verification issues after cleaning: 0", "Repeated Spaces (spaces removed): 1", "Spaces Before Punctuation (spaces removed): 1"]
+    html = sinks.html_report(audit.report_rows(f), "Report").collect()
+    assert html[0]["html"].startswith("<h2>") and "<td>" in html[1]["html"]
 
 
 def test_totals_count_what_changed(spark):
@@ -57,16 +93,24 @@ def test_project_gate(spark):
 
 
 def test_package_round_trip(spark, tmp_path):
-    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate([r"\id ABC", r"\c 1", r"\v 1 one", r"\v 2 two", r"\v 3 three"], 1)], "doc_id string, line_no long, line string")
+    from versewright.operators import packaging, projects
+
+    text = [r"\id abc Regular", r"\h Abc", r"\c 1", r"\cl First", r"\v 1 one", r"\v 2 two \v 3 three", r"\c 2", r"\v 1 باب"]
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(text, 1)] + [("e", 1, r"\id x"), ("e", 2, r"\c 1"), ("e", 3, r"\v 1 a"), ("e", 4, r"\v 1 b")], "doc_id string, line_no long, line string")
     starts = spark.createDataFrame([("ABC", 1, 1), ("ABC", 1, 3)], "book string, chapter int, start int")
-    c = usfm.to_chunks(usfm.verses(lines), starts)
-    names = spark.createDataFrame([("d", "xx", "Abc")], "doc_id string, language string, title string")
-    p = sinks.packages(sinks.project_files(c, names))
-    assert rows(sinks.write(p, str(tmp_path))) and (tmp_path / "d.tstudio").exists()
+    files, bad = packaging.package_files(lines, starts, "ur", 7, {"ABC": "The Abc"})
+    assert [tuple(r) for r in bad.collect()] == [("e", "VERSE_DUPLICATE", 1, 1)]
+    assert rows(sinks.write(sinks.packages(files), str(tmp_path))) and [p.name for p in tmp_path.iterdir()] == ["d.tstudio"]
     e = sources.entries(sources.binary(spark, str(tmp_path)))
     got = {r["path"]: bytes(r["content"]).decode() for r in e.collect()}
-    assert got["01/01.txt"] == r"\v 1 one \v 2 two" and got["01/03.txt"] == r"\v 3 three"
-    assert json.loads(got["manifest.json"])["finished_chunks"] == ["01-01", "01-03"]
+    root = "ur_abc_text_reg"
+    assert got[f"{root}/01/01.txt"] == "\\v 1 one \\v 2 two\n" and got[f"{root}/01/03.txt"] == "\\v 3 three\n"
+    assert got[f"{root}/01/title.txt"] == "First\n" and got[f"{root}/02/title.txt"] == "Chapter 2\n" and got[f"{root}/front/title.txt"] == "Abc\n"
+    inner, outer = json.loads(got[f"{root}/manifest.json"]), json.loads(got["manifest.json"])
+    assert inner["finished_chunks"] == ["front-title", "01-title", "01-01", "01-03", "02-title", "02-01"]
+    assert inner["package_version"] == 8 and inner["target_language"] == {"id": "ur", "name": "اردو", "direction": "rtl"} and inner["project"] == {"id": "abc", "name": "The Abc"}
+    assert outer["target_translations"][0]["path"] == root and outer["package_version"] == 2 and outer["timestamp"] == 7
+    assert rows(projects.manifests(e.withColumn("archive", F.lit("a")))) == [("a", root, "ABC", "The Abc", "ur", "usfm", inner["finished_chunks"])]
 
 
 def test_usfm_file_round_trip(spark, tmp_path):

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-# Patterns and sets that results depend on.
+# Patterns, sets and limits that results depend on.
 DIGITS = "[0-9۰-۹٠-٩]"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
-ARABIC_WIDE = r"\u0600-\u06FF\u0750-\u077F\u0870-\u089F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF"
-ARABIC_NARROW = r"\u0600-\u06FF"
-RTL = r"\u0600-\u06FF\u0750-\u077F"
-DIACRITICS = r"\u064B-\u065F\u0670"
-BIDI = r"\u200e\u200f\u202a-\u202e\u2066-\u2069"
+ARABIC_WIDE = r"؀-ۿݐ-ݿࡰ-࢟ࢠ-ࣿﭐ-﷿ﹰ-﻿"
+ARABIC_NARROW = r"؀-ۿ"
+RTL = r"؀-ۿݐ-ݿ"
+DIACRITICS = r"ً-ٰٟ"
+BIDI = r"‎‏‪-‮⁦-⁩"
 CONTROLS = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F"
 ARABIC_LANGUAGES = ("ar", "ara", "ur", "urd", "fa", "fas", "per", "pes", "ps", "pus", "sd", "snd", "pnb", "skr", "ks", "kas", "bal", "bft", "haz", "ug", "uig", "ckb")
+WORD = r"\p{L}\p{M}\p{N}"
+STOPS = ",.;:!?،؛؟۔"
 SENTENCE_ENDS = ".!?؟۔"
+MARKS = "!?؟"
+FULL_STOPS = ".۔"
+DOUBLE_STOP = r"(?<!\.)\.\s*\.(?!\.)"
+NUMBER_STOPS = ".)۔:"
+ALEF = "ا"
+CHAPTER_WORD = "باب"
 BEFORE_OPENER = r"\r\n(\[{،,:;؛—–-"
 AFTER_CLOSER = r"\r\n)\]}،,.:;؛!?؟۔—–-"
 VERSE_BOUNDARY = ".۔!?؟:;)]\"'»”"
+VISIBLE_BOUNDARY = ".۔!?؟:;؛)]}‘’\"'"
+EMPTY_BODY = r"[\s‎‏‪-‮﻿۔.،,؛:!؟?()\[\]{}‘’\"'\-]+"
 MOST_VERSES = 200
 DOUBLE_OPEN, DOUBLE_CLOSE, SINGLE_OPEN, SINGLE_CLOSE = "“", "”", "’", "‘"
-STOPS = ",.;:!?،؛؟۔"
 DIFF_CELLS = 1_000_000
 SMALL_FILE = 200
 EXCERPT_BEFORE, EXCERPT_AFTER = 24, 32
 CONSOLE_ISSUES = 80
+GENERATOR_NAME, GENERATOR_BUILD = "ts-desktop", "1074"

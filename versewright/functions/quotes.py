@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,36 +40,25 @@ def repaired(text: Column, arabic: Column) -> Column:
 
 
 def closers_paired(text: Column) -> Column:
-    """A single closer without an opener becomes the double closer that is due at a sentence's end."""
+    """A single closer without an opener becomes the double closer that is due at a sentence's end.
 
-    @F.pandas_udf("string")
-    def pair(s: pd.Series) -> pd.Series:
-        return s.map(_paired, na_action="ignore")
-
-    return F.when(text.contains("‘") & text.contains("“"), pair(text)).otherwise(text)
-
-
-_END = re.compile(rf"[{P.SENTENCE_ENDS}][ \t]*‘(?=[ \t]*(?:\Z|[\r\n]|\\v))")
+    Balances of open quotes run over the quotes of a text; what stands between them is only carried along.
+    """
+    due = F.regexp_replace(text, rf"(?<=[{P.SENTENCE_ENDS}][ \t]{{0,99}})‘(?=[ \t]*(?:\z|[\r\n]|\\v))", "\u0001")
+    parts = F.split(due, "(?<=[“”’‘\u0001])|(?=[“”’‘\u0001])")
+    less = lambda n: F.greatest(F.lit(0), n - 1)
 
+    def step(s: Column, t: Column) -> Column:
+        closer = t.isin("‘", "\u0001")
+        double_due = (t == "\u0001") & (s["single"] == 0) & (s["double"] > 0)
+        return F.struct(
+            F.when(t == "“", s["double"] + 1).when((t == "”") | double_due, less(s["double"])).otherwise(s["double"]).alias("double"),
+            F.when(t == "’", s["single"] + 1).when(closer, less(s["single"])).otherwise(s["single"]).alias("single"),
+            F.concat(s["out"], F.array(F.when(double_due, "”").when(closer, "‘").otherwise(t))).alias("out"),
+        )
 
-def _paired(text: str) -> str:
-    due = {m.end() - 1 for m in _END.finditer(text)}
-    double = single = 0
-    out = list(text)
-    for m in re.finditer("[“”’‘]", text):
-        i, c = m.start(), m[0]
-        if c == "“":
-            double += 1
-        elif c == "”":
-            double = max(0, double - 1)
-        elif c == "’":
-            single += 1
-        elif single:
-            single -= 1
-        elif double and i in due:
-            double -= 1
-            out[i] = "”"
-    return "".join(out)
+    start = F.struct(F.lit(0).alias("double"), F.lit(0).alias("single"), F.array().cast("array<string>").alias("out"))
+    return F.when(text.contains("‘") & text.contains("“"), F.aggregate(parts, start, step, lambda s: F.array_join(s["out"], ""))).otherwise(text)
 
 
 _NUMBER = "([0-9]{1,3}|[٠-٩]{1,3}|[۰-۹]{1,3})"
@@ -115,20 +103,23 @@ def split_verses(first: int, text: str) -> list[tuple[int, str]]:
     return out or [(first, text.strip())]
 
 
-def verses_split(line: Column) -> Column:
-    """A verse line with merged verses gets a marker for each; other lines stay. Few lines reach Python."""
-    shape = re.compile(r"^(\s*\\v\s*)([0-9]+)(\s+)(.*)$", re.I)
+_VERSE_LINE = re.compile(r"^(\s*\\v\s*)(\d+)(\s+)(.*)$", re.I)
 
-    @F.pandas_udf("string")
-    def split(s: pd.Series) -> pd.Series:
-        def one(t: str) -> str:
-            m = shape.match(t)
-            parts = split_verses(int(m[2]), m[4]) if m else []
-            return " ".join(f"{m[1]}{n}{m[3]}{x}" for n, x in parts) if len(parts) > 1 else t
 
-        return s.map(one, na_action="ignore")
+def _line_split(line: str) -> str:
+    m = _VERSE_LINE.match(line)
+    parts = split_verses(int(m[2]), m[4]) if m else []
+    return " ".join(f"{m[1]}{n}{m[3]}{x}" for n, x in parts) if len(parts) > 1 else line
+
+
+def verses_split(line: Column) -> Column:
+    """A verse line with merged verses gets a marker for each; other lines stay."""
+    return T.guarded(_line_split, line.rlike(rf"(?i)^\s*\\v\s*[0-9]+\s.*{P.DIGITS}"), line)
+
 
-    return F.when(line.rlike(rf"(?i)^\s*\\v\s*[0-9]+\s.*{P.DIGITS}"), split(line)).otherwise(line)
+def split_lines(text: str) -> str:
+    """verses_split for each line of a whole text."""
+    return re.sub(r"[^\r\n]+", lambda m: _line_split(m[0]), text)
 
 
 def embedded_markers(text: Column, first: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,30 @@ def with_expected(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(small(dim), list(keys), "left")
 
 
+#: Starts in one array of floor().
+ARRAY_STARTS = 1000
+
+
 def floor(df: DataFrame, value: str, dim: DataFrame, start: str, keys: Sequence[str] = (), name: str = "floor") -> DataFrame:
-    """df with the greatest start that is no more than the value; null before the first.
+    """df with the greatest start that is no more than the value; null before the first, and for a null value.
 
-    Starts are gathered by key into a sorted array and probed by binary steps, so each row meets one row
-    of the reference table. A key's starts must fit one row (chunk maps have a few dozen).
+    Starts lie in sorted arrays of some ARRAY_STARTS at most, by key and by ranges of starts, each with the last start
+    before its range in front. A row finds its range by the bounds and its start in that array, so it meets one row of
+    the reference table, however many starts there are. Arrays are broadcast only up to BROADCAST_ROWS rows.
     """
-    arrays = dim.groupBy(*keys).agg(F.array_sort(F.collect_set(start)).alias("__s")) if keys else dim.agg(F.array_sort(F.collect_set(start)).alias("__s"))
-    joined = df.join(small(arrays), list(keys), "left") if keys else df.join(F.broadcast(arrays), F.lit(True), "left")  # one row
-    return joined.withColumn(name, F.try_element_at(F.filter("__s", lambda s: s <= F.col(value)), F.lit(-1))).drop("__s")
+    starts = dim.where(F.col(start).isNotNull()).select(*keys, F.col(start).alias("__v")).distinct()
+    n = starts.count()
+    parts = min(1000, n // ARRAY_STARTS)
+    bounds = starts.agg(F.percentile_approx("__v", [i / (parts + 1) for i in range(1, parts + 1)], 10_000)).first()[0] if parts else []
+    part = lambda v: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= v)) if bounds else F.lit(0)
+    arrays = starts.withColumn("__part", part(F.col("__v"))).groupBy(*keys, "__part").agg(F.array_sort(F.collect_set("__v")).alias("__s"))
+    if parts:  # a value below the first start of its range belongs to the last start of the ranges before
+        every = starts.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("__part")) if keys else df.sparkSession.range(parts + 1).select(F.col("id").cast("int").alias("__part"))
+        w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        arrays = every.join(arrays, [*keys, "__part"], "left").withColumn("__b", F.max(F.element_at("__s", -1)).over(w))
+        arrays = arrays.select(*keys, "__part", F.concat(F.when(F.col("__b").isNotNull(), F.array("__b")).otherwise(F.slice(F.array("__b"), 1, 0)), F.coalesce("__s", F.slice(F.array("__b"), 1, 0))).alias("__s"))
+    joined = df.withColumn("__part", part(F.col(value))).join(small(arrays), [*keys, "__part"], "left")
+    return joined.withColumn(name, F.try_element_at(F.filter("__s", lambda s: s <= F.col(value)), F.lit(-1))).drop("__s", "__part")
 
 
 def next_start(dim: DataFrame, keys: Sequence[str], start: str) -> DataFrame:
@@ -63,15 +80,19 @@ def out_of_range(df: DataFrame, dim: DataFrame, keys: Sequence[str], number: str
 def by_alias(df: DataFrame, heading: Column, aliases: DataFrame, key) -> DataFrame:
     """df with ``book``: of an exact alias that names one book only, else of the first alias that the heading contains.
 
-    aliases(book, alias, priority); key turns a Column into what is compared. Headings are resolved once
-    each, however often they occur; contained aliases are found by words of the heading's key.
+    aliases(book, alias, priority); key turns a Column into what is compared. Headings are resolved once each, however
+    often they occur. Contained aliases are found by an equi-join on all pieces of a heading that are as long as
+    some alias, so no heading meets an alias that it hasn't.
     """
     a = aliases.select("book", "priority", key(F.col("alias")).alias("k")).where("k <> ''")
     one = a.groupBy("k").agg(F.countDistinct("book").alias("n"), F.min("book").alias("exact")).where("n = 1").select("k", "exact")
     heads = df.select(heading.alias("h")).distinct().withColumn("hk", key(F.col("h")))
     heads = heads.join(small(one), heads["hk"] == one["k"], "left").drop("k")
-    rest = heads.where("exact is null and hk <> ''").select("h", "hk")
-    inside = rest.join(small(a), F.col("hk").contains(F.col("k"))).groupBy("h").agg(F.min(F.struct("priority", "book"))["book"].alias("part"))
+    sizes = [r[0] for r in a.select(F.char_length("k")).distinct().collect()]  # as many as the longest alias has characters at most
+    pieces = lambda n: F.when(F.char_length("hk") >= n, F.transform(F.sequence(F.lit(1), F.char_length("hk") - (n - 1)), lambda i: F.substring("hk", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    rest = heads.where("exact is null and hk <> ''")
+    some = rest.select("h", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes]) if sizes else F.array().cast("array<string>"))).alias("k"))
+    inside = some.join(small(a), "k").groupBy("h").agg(F.min(F.struct("priority", "book"))["book"].alias("part"))
     book = heads.join(inside, "h", "left").select(F.col("h").alias("__h"), F.coalesce("exact", "part").alias("book"))
     return df.join(book, heading.eqNullSafe(F.col("__h")), "left").drop("__h")
 
@@ -95,14 +116,57 @@ def changed(after: DataFrame, before: DataFrame) -> DataFrame:
     return h(after).join(h(before), ["path", "hash"], "left_anti").select("path")
 
 
+#: Characters of an anchor, and the shortest text that can lie within another.
+ANCHOR, CONTAINED, COMPARED = 40, 80, 40
+
+
+def _anchors(text: Column) -> Column:
+    """Hashes of some pieces of ANCHOR characters: of all that lie within CONTAINED characters the least one. So a text
+    that lies within another has each of its anchors among that one's."""
+
+    @F.pandas_udf("array<long>")
+    def pick(s: pd.Series) -> pd.Series:
+        out = []
+        for t in s:
+            h = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            whole, size, p = None, 1, np.uint64(0x9E3779B97F4A7C15)
+            need = ANCHOR
+            while need:  # pieces of 1, 2, 4, … characters make one of ANCHOR
+                if need & size:
+                    whole = h if whole is None else h[: len(whole) - size if len(whole) > size else 0] * p + whole[size:]
+                    need -= size
+                if need:
+                    h, p, size = h[:-size] * p + h[size:], p * p + np.uint64(2), size * 2
+            whole ^= whole >> np.uint64(31)
+            whole *= np.uint64(0xD6E8FEB86659FD93)
+            reach = CONTAINED - ANCHOR + 1
+            out.append(np.unique(np.lib.stride_tricks.sliding_window_view(whole, reach).min(axis=1)).astype(np.int64))
+        return pd.Series(out, index=s.index, dtype=object)
+
+    return pick(text)
+
+
 def duplicated_titles(titles: DataFrame, chunks: DataFrame, key) -> DataFrame:
     """(project, title_path, chunk_path): a title that repeats a chunk's text, the first such chunk of each.
 
-    Both have 40 characters or more once compared; equal, or one within the other if the shorter has 80.
-    Projects keep the comparison small; it runs over pairs of a project's titles and chunks.
+    Both have COMPARED characters or more once compared; equal, or one within the other if the shorter has CONTAINED.
+    Equal ones meet by their text. For the rest, the shorter one's anchor that the fewest on the other side have is
+    looked up among the other side's anchors: a text meets only those that have its rarest piece.
     """
-    t = titles.select("project", F.col("path").alias("title_path"), key(F.col("text")).alias("a")).where("char_length(a) >= 40")
-    c = chunks.select("project", F.col("path").alias("chunk_path"), key(F.col("text")).alias("b")).where("char_length(b) >= 40")
+    t = titles.select("project", F.col("path").alias("title_path"), key(F.col("text")).alias("a")).where(F.char_length("a") >= COMPARED)
+    c = chunks.select("project", F.col("path").alias("chunk_path"), key(F.col("text")).alias("b")).where(F.char_length("b") >= COMPARED)
+    equal = t.join(c, (t["project"] == c["project"]) & (F.col("a") == F.col("b"))).select(t["project"], "title_path", "chunk_path")
+
+    def marks(d: DataFrame, path: str, text: str) -> DataFrame:
+        return d.where(F.char_length(text) >= CONTAINED).select("project", path, F.explode(_anchors(F.col(text))).alias("anchor"))
+
+    def inside(short: DataFrame, long: DataFrame, path: str, other: str) -> DataFrame:
+        df = long.groupBy("project", "anchor").agg(F.count("*").alias("df"))
+        best = short.join(df, ["project", "anchor"], "left").groupBy("project", path).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "anchor")).alias("x")).where("x.df > 0")
+        return best.select("project", path, F.col("x.anchor").alias("anchor")).join(long, ["project", "anchor"]).select("project", path, other)
+
+    mt, mc = marks(t, "title_path", "a"), marks(c, "chunk_path", "b")
+    pairs = inside(mt, mc, "title_path", "chunk_path").select("project", "title_path", "chunk_path").union(inside(mc, mt, "chunk_path", "title_path").select("project", "title_path", "chunk_path")).distinct()
     a, b = F.col("a"), F.col("b")
-    hit = (a == b) | ((F.least(F.char_length(a), F.char_length(b)) >= 80) & (a.contains(b) | b.contains(a)))
-    return t.join(c, "project").where(hit).groupBy("project", "title_path").agg(F.min("chunk_path").alias("chunk_path"))
+    held = pairs.join(t, ["project", "title_path"]).join(c, ["project", "chunk_path"]).where(a.contains(b) | b.contains(a)).select("project", "title_path", "chunk_path")
+    return equal.union(held).groupBy("project", "title_path").agg(F.min("chunk_path").alias("chunk_path"))

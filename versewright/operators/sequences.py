@@ -15,17 +15,28 @@ from pyspark.sql import functions as F
 def issues(df: DataFrame, keys: Sequence[str], number: str, order: Sequence) -> DataFrame:
     """(keys, code, number): duplicates, numbers below the one before, starts other than 1, and gaps.
 
-    One sort by key serves order checks; duplicates and gaps come from one aggregate by key and number.
+    One exchange by key; a sort in the given order serves order checks, one by number the rest. Nothing is gathered.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    key = [F.col(k) for k in keys]
-    late = df.select(*key, F.col(number).alias("number"), F.lag(number).over(w).alias("prev")).where("number < prev").select(*key, F.lit("VERSE_OUT_OF_ORDER").alias("code"), "number")
-    counts = df.groupBy(*keys, F.col(number).alias("number")).agg(F.count("*").alias("n"))
-    twice = counts.where("n > 1").select(*key, "number", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("x")).select(*key, F.lit("VERSE_DUPLICATE").alias("code"), "number")
-    span = counts.groupBy(*keys).agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.collect_set("number").alias("have"))
-    start = span.where("lo <> 1").select(*key, F.lit("VERSE_START_NOT_ONE").alias("code"), F.col("lo").alias("number"))
-    gaps = span.select(*key, F.explode(F.array_except(F.sequence("lo", "hi"), "have")).alias("number")).select(*key, F.lit("VERSE_SEQUENCE_GAP").alias("code"), "number")
-    return late.unionByName(twice).unionByName(start).unionByName(gaps)
+    w, byn = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys).orderBy(number)
+    d = df.select(*keys, F.col(number).alias("number"), F.lag(number).over(w).alias("prev"), F.lag(number).over(byn).alias("below"), F.row_number().over(byn).alias("nth"))
+    n, below = F.col("number"), F.col("below")
+    found = lambda when, code, lo, hi: F.when(when, F.struct(F.lit(code).alias("code"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")))
+    codes = F.array_compact(F.array(
+        found(n < F.col("prev"), "VERSE_OUT_OF_ORDER", n, n), found(n == below, "VERSE_DUPLICATE", n, n),
+        found((F.col("nth") == 1) & (n != 1), "VERSE_START_NOT_ONE", n, n), found(n > below + 1, "VERSE_SEQUENCE_GAP", below + 1, n - 1),
+    ))
+    e = d.select(*keys, F.explode(codes).alias("x")).select(*keys, "x.*")
+    return numbers(e, [*keys, "code"], "lo", "hi", "number")
+
+
+#: Numbers that one row is turned into at once.
+BLOCK = 10_000
+
+
+def numbers(df: DataFrame, cols: Sequence[str], lo: str, hi: str, name: str) -> DataFrame:
+    """A row for each number from lo to hi, both with it; in blocks, so that a wide span is no array."""
+    d = df.where(F.col(lo) <= F.col(hi)).select(*cols, F.col(hi).alias("__hi"), F.explode(F.sequence(F.col(lo), F.col(hi), F.lit(BLOCK).cast("long"))).alias("__lo"))
+    return d.select(*cols, F.explode(F.sequence(F.col("__lo"), F.least(F.col("__hi"), F.col("__lo") + BLOCK - 1))).alias(name))
 
 
 def by_code(found: DataFrame) -> DataFrame:
@@ -40,7 +51,8 @@ def jumps(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
 
 def missing_between(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     """(keys, missing): numbers between present ones."""
-    return jumps(df, keys, number).select(*keys, F.explode(F.sequence(F.col("prev") + 1, F.col("number") - 1)).alias("missing"))
+    d = jumps(df, keys, number).select(*keys, (F.col("prev") + 1).cast("long").alias("__a"), (F.col("number") - 1).cast("long").alias("__b"))
+    return numbers(d, keys, "__a", "__b", "missing")
 
 
 def continuity(df: DataFrame, keys: Sequence[str], number: str, order: Sequence) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versewright.functions import text as T
-from versewright.operators import audit, lookups, sequences, usfm
+from versewright.operators import audit, lookups, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -199,77 +199,6 @@ def changed_files(spark, sf):
     return lookups.changed(after, before)
 
 
-_ALIAS = "('GEN','Genesis',0),('GEN','1 Moses',1),('EXO','Exodus',0),('EXO','2 Moses',1),('RUT','Ruth',0),('JOB','Job',0)"
-_HEADS = "(1,'GENESIS'),(2,'The book of Ruth!'),(3,'1-Moses'),(4,'Preface'),(5,'Job and Ruth'),(6,null)"
-
-
-@query(f"""
-with a as (select *, lower(regexp_replace(alias, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) as k from (values {_ALIAS}) t(book, alias, priority)),
-h as (select *, lower(regexp_replace(heading, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) as hk from (values {_HEADS}) t(id, heading))
-select id, coalesce((select min(book) from a where k = hk having count(distinct book) = 1), (select book from a where contains(hk, k) order by priority, book limit 1)) as book from h""")
-def alias_resolution(spark, sf):
-    a = values(spark, f"{_ALIAS} t(book, alias, priority)")
-    return lookups.by_alias(values(spark, f"{_HEADS} t(id, heading)"), F.col("heading"), a, T.alias_key).select("id", "book")
-
-
-@query("""
-with e as (select * from (values ('GEN','1:1,4,7;2:1,3'),('RUT','1:1,3,1')) t(book, encoded)), p as (select book, unnest(string_split(encoded, ';')) as p from e)
-select distinct book, split_part(p, ':', 1)::int as chapter, unnest(string_split(split_part(p, ':', 2), ','))::int as start from p""")
-def chunk_map(spark, sf):
-    return lookups.decode_chunks(values(spark, "('GEN','1:1,4,7;2:1,3'),('RUT','1:1,3,1') t(book, encoded)"))
-
-
-# ---- marked-up lines
-
-_LINES = [(1, r"\id gen A book"), (2, r"\h Genesis"), (3, r"\c 1"), (4, r"\p"), (5, r"\v 1 In the beginning"), (6, "it was so \\v 2 and then"), (7, r"\v 4 later"), (8, r"\c 2"), (9, r"\v 2 second"), (10, r"\v 2 again"), (11, r"\id rut"), (12, r"\c 1"), (13, r"\v ۱ persian")]
-_VERSES = "('d','GEN',1,1,'In the beginning it was so',5),('d','GEN',1,2,'and then',6),('d','GEN',1,4,'later',7),('d','GEN',2,2,'second',9),('d','GEN',2,2,'again',10),('d','RUT',1,1,'persian',13)"
-
-
-def _lines(spark) -> DataFrame:
-    return spark.createDataFrame([("d", n, x) for n, x in _LINES], "doc_id string, line_no long, line string")
-
-
-@query(f"select doc_id, book, chapter, verse, text from (values {_VERSES.replace('In the beginning it was so', 'In the beginning')}) t(doc_id, book, chapter, verse, text, line_no)")
-def usfm_verses(spark, sf):
-    return usfm.verses(_lines(spark), continued=False).select("doc_id", "book", "chapter", "verse", "text")
-
-
-@query("select * from (values ('VERSE_DUPLICATE', 1), ('VERSE_SEQUENCE_GAP', 1), ('VERSE_START_NOT_ONE', 1)) t(code, n)".replace(", 1)", ", 1::bigint)"))
-def usfm_issues(spark, sf):
-    v = usfm.verses(_lines(spark))
-    return sequences.by_code(sequences.issues(v, ["doc_id", "book", "chapter"], "verse", ["line_no", "pos"]))
-
-
-@query("select 'd' as doc_id, 'GEN' as book, 1 as chapter, * from (values (1, 1, 2), (3, 4, 4)) t(chunk_start, first_verse, last_verse) union all select 'd', 'GEN', 2, 1, 2, 2")
-def usfm_chunks(spark, sf):
-    starts = values(spark, "('GEN',1,1),('GEN',1,3),('GEN',2,1) t(book, chapter, start)")
-    return usfm.to_chunks(usfm.verses(_lines(spark)).where("book = 'GEN'"), starts).select("doc_id", "book", "chapter", "chunk_start", "first_verse", "last_verse")
-
-
-@query("select 'd' as doc_id, 'GEN' as book, 'Genesis' as title")
-def usfm_identity(spark, sf):
-    return usfm.identity(_lines(spark))
-
-
-@query("select count(*) as n from (values (1)) t")
-def usfm_gate(spark, sf):
-    bad = values(spark, r"('x',1L,'\\d A psalm \\v 1 of'),('y',1L,'\\d A psalm') t(doc_id, line_no, line)")
-    clean, blocked = usfm.gate(bad, usfm.rejected(bad))
-    return clean.crossJoin(F.broadcast(blocked.agg(F.count("*").alias("b")))).where("b = 1").agg(F.count("*").alias("n"))  # one row
-
-
-@query("select * from (values ('x', 'Error', 'MARKER_UNSUPPORTED', 'q9'), ('x', 'Warning', 'MARKER_PRIVATE_NAMESPACE', 'zz')) t(doc_id, severity, code, marker)")
-def usfm_markers(spark, sf):
-    d = values(spark, r"('x',1L,'\\p \\q9 text \\zz private\\zz*'),('x',2L,'\\v 1 text') t(doc_id, line_no, line)")
-    return usfm.markers(d, values(spark, "('p'),('v') t(marker)"))
-
-
-@query("""
-select * from (values ('a', 'USFM_SMALL_FILE', '14'), ('a', 'USFM_JAMMED_VERSE_NUMBER', '\\v 1x'), ('b', 'USFM_SMALL_FILE', '8'), ('b', 'USFM_STRANDED_BACKSLASH', ''), ('b', 'USFM_FOREIGN_MARKER_CHAR', '\\9')) t(path, code, found)""")
-def usfm_preflight(spark, sf):
-    return usfm.preflight(spark.createDataFrame([("a", "\\v 1x word wor"), ("b", "\\ x \\9 y")], "path string, text string"))
-
-
 # ---- text rules, over documents with defects put in
 
 _DEFECTS = ((". ", " . "), (", ", "  ,"), (" the ", " the "), (" of ", " of‎ "), ("! ", "!. "))
@@ -308,22 +237,16 @@ def stop_after_mark(spark, sf):
     return _spoilt(spark, sf).select("doc_id", T.SPACING[1].apply(F.col("text")).alias("text"))
 
 
-@query(f"select doc_id, regexp_replace(replace(text, ' ', ' '), '([^\\s ])[  ]{{2,}}([^\\s ])', '\\1 \\2', 'g') as text from {_spoilt_sql()}")
-def inline_spaces(spark, sf):
-    rules = [r for r in T.INLINE_SPACES if r.name != "joined_stop"]
-    return _spoilt(spark, sf).select("doc_id", T.apply(rules, F.col("text")).alias("text"))
+_TWO = "'([^\\s\u00a0]) {2,}([^\\s\u00a0])', '\\1 \\2', 'g'"
 
 
-@query("select doc_id, regexp_replace(translate(substr(text, 1, 40), '0123456789', '۰۱۲۳۴۵۶۷۸۹'), '[^\\p{L}\\p{Nd}]', '', 'g') as key, try_cast(n_chars::varchar as int) as number from documents")
-def digits_and_keys(spark, sf):
-    d = table(spark, sf, "documents")
-    key = F.regexp_replace(T.persian_digits(F.substring("text", 1, 40)), r"[^\p{L}\p{Nd}]", "")
-    return d.select("doc_id", key.alias("key"), T.script_number(T.persian_digits(F.col("n_chars").cast("string"))).alias("number"))
+@query(f"select doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, '\u00a0', ' '), '([\\p{{L}}\\p{{M}}][۔،])(\\p{{L}})', '\\1 \\2', 'g'), {_TWO}), {_TWO}) as text from {_spoilt_sql()}")
+def inline_spaces(spark, sf):
+    return _spoilt(spark, sf).select("doc_id", T.apply(T.INLINE_SPACES, F.col("text")).alias("text"))
 
 
 @query("select doc_id, regexp_replace(translate(text, '0123456789', '۰۱۲۳۴۵۶۷۸۹'), '[^\\p{L}\\p{Nd}]', '', 'g') as key, try_cast(n_chars::varchar as int) as number from documents")
-def digits_and_keys_whole(spark, sf):
-    """digits_and_keys, whose SQL is fixed to the first 40 characters, over whole texts."""
+def digits_and_keys(spark, sf):
     d = table(spark, sf, "documents")
     key = F.regexp_replace(T.persian_digits(F.col("text")), r"[^\p{L}\p{Nd}]", "")
     return d.select("doc_id", key.alias("key"), T.script_number(T.persian_digits(F.col("n_chars").cast("string"))).alias("number"))
@@ -369,12 +292,6 @@ def console_cap(spark, sf):
 # ---- audit: what cleaning changed
 
 
-@query()
-def audit_findings(spark, sf):
-    d = _spoilt(spark, sf).withColumn("after", T.apply(T.cleaner(), F.col("text"))).withColumn("path", F.col("doc_id").cast("string"))
-    return audit.captured(d, "text", "after", F.lit("Punctuation/spacing normalization"))
-
-
 @query("select 'Bidi control removal' as label, 'characters removed' as unit, sum(length(text) - length(replace(text, chr(10), '')) + 1)::bigint as n from documents")
 def audit_totals(spark, sf):
     mark = F.lit("\u200e")
@@ -391,3 +308,6 @@ def title_duplicates(spark, sf):
     d = table(spark, sf, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("path"), "text")
     found = lookups.duplicated_titles(b, d, T.comparable)
     return found.select(F.col("title_path").alias("item_id"), F.col("chunk_path").alias("doc_id"))
+
+
+from versewright.plans import marked  # noqa: E402, F401  its queries join the catalog

@@ -13,4 +13,4 @@ def stream(spark: SparkSession, folder: str, glob: str = "*.usfm") -> DataFrame:
     schema = "path string, modificationTime timestamp, length long, content binary"
     d = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(folder)
     d = d.select("path", F.expr("make_valid_utf8(cast(content as string))").alias("text"))
-    return d.withColumn("cleaned", F.when(T.has_arabic(F.col("text")), T.apply(T.cleaner(True), F.col("text"))).otherwise(T.apply(T.cleaner(), F.col("text"))))
+    return T.clean_text(d, "text", None, "cleaned")
