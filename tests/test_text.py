@@ -48,7 +48,7 @@ CLEANED = [
     ("12 v. text", r"\v 12 text"), ("v 7. text", r"\v 7 text"), ("x-7 v. text", r"x- \v 7 text"), ("(7 v. text", r"(\v 7 text"), ("۱۲ v. text", r"\v 12 text"),
     (r"\v 5 5. text", r"\v 5 text"), (r"\v 5 ۵. x", r"\v 5 x"), (r"\v 5 6. text", r"\v 5 6. text"), ("\\v 1 ا. x", r"\v 1 x"), ("\\v 21 ا2. x", r"\v 21 x"),
     ("\\v 4 \u2060\u2060 text", r"\v 4 text"), ("line one\n. next", "line one\n. next"), ("a ,b\r\nc ,d", "a,b\r\nc,d"), ("باب12", "باب 12"),
-    ("latin (a )\nکتاب “x”", "latin (a)\nکتاب ”x“"), (r"\v 1 one. 2 two", r"\v 1 one. \v 2 two"), ("End. ”Start", "End. “Start"), ("\ufeffa\x01b", "ab"),
+    ("latin (a )\nکتاب \"x\"", "latin (a)\nکتاب ”x“"), (r"\v 1 one. 2 two", r"\v 1 one. \v 2 two"), ("End. ”Start", "End.” Start"), ("\ufeffa\x01b", "ab"),
 ]
 
 

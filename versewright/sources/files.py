@@ -34,7 +34,8 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def entries(archives: DataFrame) -> DataFrame:
-    """(archive, path, content) of the files in zip archives(path, content); broken archives have no rows."""
+    """(archive, path, content) of the files in zip archives(path, content). A broken archive has no entries here; broken()
+    has a row for it."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -107,6 +108,90 @@ def body(raw: bytes) -> list[tuple]:
     return out
 
 
+def broken(archives: DataFrame, needed: str | None = None) -> DataFrame:
+    """(path, code): archives(path, content) that can't be read: ZIP_INVALID, or DOCX_ENTRY_MISSING, DOCX_XML_PARSE_FAILED and
+    DOCX_BODY_MISSING for the entry that is needed of each (word/document.xml for word-processor documents)."""
+
+    @F.pandas_udf("string")
+    def check(s: pd.Series) -> pd.Series:
+        return s.map(lambda raw: _broken(raw, needed))
+
+    return archives.select("path", check("content").alias("code")).where("code is not null")
+
+
+def _broken(raw: bytes | None, needed: str | None) -> str | None:
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    try:
+        z = zipfile.ZipFile(io.BytesIO(raw or b""))
+        if z.testzip() is not None:
+            return "ZIP_INVALID"
+        if needed is None:
+            return None
+        root = ElementTree.fromstring(z.read(needed))
+    except zipfile.BadZipFile:
+        return "ZIP_INVALID"
+    except KeyError:
+        return "DOCX_ENTRY_MISSING"
+    except ElementTree.ParseError:
+        return "DOCX_XML_PARSE_FAILED"
+    return "DOCX_BODY_MISSING" if needed == DOCUMENT and root.find(f"{W}body") is None else None
+
+
+DOCUMENT = "word/document.xml"
+
+
+def _parts(archives: DataFrame, entry: str, schema: str, read) -> DataFrame:
+    """Rows that read(root) makes of one XML entry of each archive; archives without it have none."""
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+        from xml.etree import ElementTree
+
+        for pdf in batches:
+            for name, raw in zip(pdf["path"], pdf["content"]):
+                try:
+                    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read(entry))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+                if rows := [(name, *r) for r in read(root)]:
+                    yield pd.DataFrame(rows, columns=names)
+
+    return archives.select("path", "content").mapInPandas(go, schema)
+
+
+def styles(archives: DataFrame) -> DataFrame:
+    """(doc_id, kind, style_id): the paragraph and character styles of word-processor documents."""
+    kinds = ("paragraph", "character")
+    read = lambda root: [(x.get(f"{W}type"), x.get(f"{W}styleId")) for x in root.iter(f"{W}style") if x.get(f"{W}type") in kinds and x.get(f"{W}styleId")]
+    return _parts(archives, "word/styles.xml", "doc_id string,kind string,style_id string", read)
+
+
+def properties(archives: DataFrame) -> DataFrame:
+    """(doc_id, name, value): custom properties with a name and a value; the last of a name counts."""
+    ns = "{http://schemas.openxmlformats.org/officeDocument/2006/custom-properties}property"
+
+    def read(root) -> list[tuple[str, str]]:
+        found = {x.get("name"): "".join(x.itertext()).strip() for x in root.iter(ns) if (x.get("name") or "").strip() and "".join(x.itertext()).strip()}
+        return list(found.items())
+
+    return _parts(archives, "docProps/custom.xml", "doc_id string,name string,value string", read)
+
+
+def merged(paragraph_rows: DataFrame, order: DataFrame) -> DataFrame:
+    """Paragraphs of a folder's chapter files as one document: order(doc_id, merged_id, rank) says which file belongs where;
+    files whose name begins with ~$ are left out. Paragraphs are numbered anew."""
+    from pyspark.sql import Window
+
+    d = paragraph_rows.where(~F.col("doc_id").rlike(r"(^|/)~\$[^/]*$")).join(order, "doc_id")
+    no = F.dense_rank().over(Window.partitionBy("merged_id").orderBy("rank", "doc_id", "para_no"))
+    return d.withColumn("para_no", no).withColumn("doc_id", F.col("merged_id")).drop("merged_id", "rank")
+
+
 def footnotes(archives: DataFrame) -> DataFrame:
     """(doc_id, id, text); ids below zero and blank notes are left out."""
 
@@ -151,18 +236,56 @@ def invalid_versification(dim: DataFrame) -> DataFrame:
     return dim.where("max_verse is null or max_verse <= 0")
 
 
-def profiles(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Language profiles from JSON files; the first file of an id (without case) wins. Broken files are left out."""
+def check_versification(dim: DataFrame, profile: str, expected: str, books: int = 39) -> DataFrame:
+    """(code, found): a versification that isn't the one expected, has another number of books, or counts that aren't positive."""
+    n = dim.agg(F.countDistinct("book").alias("n"), F.count_if(F.col("max_verse").isNull() | (F.col("max_verse") <= 0)).alias("bad"))
+    codes = F.array_compact(F.array(
+        F.when(F.lit(profile) != expected, F.struct(F.lit("PROFILE_ID").alias("code"), F.lit(profile).alias("found"))),
+        F.when(F.col("n") != books, F.struct(F.lit("BOOK_COUNT").alias("code"), F.col("n").cast("string").alias("found"))),
+        F.when(F.col("bad") > 0, F.struct(F.lit("COUNT_NOT_POSITIVE").alias("code"), F.col("bad").cast("string").alias("found"))),
+    ))
+    return n.select(F.explode(codes).alias("x")).select("x.*")
+
+
+# What a language profile has, and what it has where it says nothing.
+PROFILE = "id string, name string, bookAliases map<string,array<string>>, headingPrefixes array<string>, inlineSplitPhrases array<string>, psalmChapterKeywords array<string>, psalmSuperscriptionStarts array<string>, psaMainTitle string"
+DEFAULT_PROFILE = "global-starter"
+
+
+def profiles(spark: SparkSession, paths: list[str], defaults: dict[str, list[str]] | None = None) -> DataFrame:
+    """Language profiles from JSON files: the first file of an id (without case, by path) wins; a file without an id takes its
+    stem, one without aliases or that is no JSON is left out. Lists are trimmed, distinct and without blanks; an empty one
+    is the default's. columns: those of PROFILE."""
     from pyspark.sql import Window
 
-    schema = "id string, bookAliases map<string,array<string>>"
     d = spark.read.option("wholetext", "true").text(paths).select("value", F.input_file_name().alias("file"))
-    d = d.select("file", F.from_json("value", schema, {"allowComments": "true", "mode": "PERMISSIVE"}).alias("p")).select("file", "p.*").where("id is not null")
+    d = d.select("file", F.from_json("value", PROFILE, {"allowComments": "true", "mode": "PERMISSIVE"}).alias("p")).select("file", "p.*").where(F.size("bookAliases") > 0)
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    d = d.withColumn("id", F.coalesce(F.nullif(F.trim("id"), F.lit("")), stem)).withColumn("name", F.coalesce(F.trim("name"), "id"))
+
+    def clean(c: str):
+        full = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+        once = F.filter(full, lambda x, i: F.array_position(F.transform(full, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+        other = F.array(*[F.lit(x) for x in (defaults or {}).get(c, [])]).cast("array<string>")
+        return F.when(F.coalesce(F.size(once), F.lit(0)) > 0, once).otherwise(other)
+
+    for c in ("headingPrefixes", "inlineSplitPhrases", "psalmChapterKeywords", "psalmSuperscriptionStarts"):
+        d = d.withColumn(c, clean(c))
     return d.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("id")).orderBy("file"))).where("n = 1").drop("n", "file")
 
 
+def profile(all_: DataFrame, profile_id: str | None = None) -> DataFrame:
+    """The profile of an id (without case); without one the default's, or the first by id. An unknown id is an error that names
+    those that are there."""
+    rows = [r["id"] for r in all_.select("id").orderBy("id").collect()]  # a profile for each language file
+    want = (profile_id or (DEFAULT_PROFILE if DEFAULT_PROFILE in {r.lower() for r in rows} else rows[0] if rows else "")).lower()
+    if rows and want not in {r.lower() for r in rows}:
+        raise ValueError(f"Unknown profile '{profile_id}'. Available profiles: {', '.join(rows)}.")
+    return all_.where(F.lower("id") == want)
+
+
 def aliases(profile_rows: DataFrame) -> DataFrame:
-    """(book, alias, priority): trimmed, lower case, distinct."""
-    d = profile_rows.select(F.explode("bookAliases").alias("book", "names"))
-    d = d.select("book", F.posexplode(F.array_distinct(F.filter(F.transform("names", lambda x: F.lower(F.trim(x))), lambda x: x != ""))).alias("priority", "alias"))
+    """(book, alias, priority): books in capitals, names trimmed, lower case, distinct."""
+    d = profile_rows.select(F.explode("bookAliases").alias("book", "names")).where("trim(book) <> ''")
+    d = d.select(F.upper(F.trim("book")).alias("book"), F.posexplode(F.array_distinct(F.filter(F.transform("names", lambda x: F.lower(F.trim(x))), lambda x: x != ""))).alias("priority", "alias"))
     return d.select("book", "alias", "priority")
