@@ -14,27 +14,37 @@ MODEL = "piece_bpe_32k.model"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    A null text counts as empty and goes. Repeated rows and null ids are judged each by its own text; an empty table
+    stays empty; other columns, whatever their names, come through.
+    """
     return quality_rules.keep(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays: that of the smallest id, null ids last.
+
+    Rows that share an id but not a text are documents of their own; of rows equal in all columns one stays.
+    """
     return near_dedup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item in them go."""
+    """Documents with a benchmark item in them go.
+
+    Items and texts of fewer than five words match nothing. A row goes by its id and text: others of that id stay.
+    """
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked."""
+    """Secrets in the texts are masked; every row and column stays, n_chars follows the text."""
     return secret_scan.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
+    """doc_id, n_tokens and the digests of ids and decoded text, for every row; a null text has no tokens."""
     return piece_codec.round_trip(docs, public_tokenizers.path(MODEL)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -51,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after another, over the documents of a folder."""
+    """The stages, one after another, over the documents of a folder, each stored before the next reads it.
+
+    An empty table gives no rows; what each stage does with nulls, ties and repeated rows is said there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
