@@ -68,9 +68,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least:
     the first of equals.
 
     Items of fewer than k words have no shingles and match nothing, like null texts. Items with equal text
-    all match. Rows with the same id are one document here; a null id is an id like another. Repeated rows
-    add nothing. Other columns are not read.
+    all match. Rows with the same id but other texts are compared each; the best window of the id is its row. A null
+    id is an id like another. Repeated rows add nothing. Other columns are not read.
     """
+    found = _matches(docs, benchmark, k, least, radius, id_col, text_col, item_col, item_text_col)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("sim", (-F.col("start")).alias("neg"), "size")).alias("x"))
+    return best.select("doc_id", "item_id", (-F.col("x.neg")).alias("start_word"), F.col("x.size").alias("n_words"), F.col("x.sim").alias("similarity"))
+
+
+def _matches(docs, benchmark, k, least, radius, id_col, text_col, item_col, item_text_col) -> DataFrame:
+    """(doc_id, key, item_id, start, size, sim) of every window that is similar enough; key is the text's digest."""
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w")).where(F.size("w") >= k).select("item_id", F.size("w").alias("size"), _hashes(F.col("w"), k).alias("h"), _shingles(F.col("w"), k).alias("sh"))
     items = stored(items.select("item_id", "size", "h", "sh", simhash(F.col("h")).alias("print")), "items")
     anchors = stored(items.select("size", F.explode("h").alias("hash")).distinct(), "anchors")
@@ -96,24 +103,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least:
     has = windows.select(F.col("doc_id").alias("d"), F.col("key").alias("y"), "size", "span", "starts")
     has = has.groupBy("d", "y").agg(F.collect_list(F.struct("size", "span", "starts")).alias("at"))  # windows of one text
     there = texts.join(has, texts["doc_id"].eqNullSafe(has["d"]) & (texts["key"] == has["y"]))
-    there = there.select("doc_id", words(F.col("text")).alias("w"), "at").select("doc_id", "w", F.explode("at").alias("at"))
-    there = there.select("doc_id", "w", "at.size", "at.span", F.explode("at.starts").alias("start"))
-    there = there.select("doc_id", "start", "size", F.slice("w", F.col("start") + 1, F.col("span")).alias("w"), "span")
-    there = there.select("doc_id", "start", "size", "span", _shingles(F.col("w"), k).alias("sh"), _hashes(F.col("w"), k).alias("h"))
-    prints = stored(there.select("doc_id", "start", "size", "span", "sh", "h", simhash(F.col("h")).alias("print")).distinct(), "prints")  # h twice, else it's worked out again for each bit
+    there = there.select("doc_id", "key", words(F.col("text")).alias("w"), "at").select("doc_id", "key", "w", F.explode("at").alias("at"))
+    there = there.select("doc_id", "key", "w", "at.size", "at.span", F.explode("at.starts").alias("start"))
+    there = there.select("doc_id", "key", "start", "size", F.slice("w", F.col("start") + 1, F.col("span")).alias("w"), "span")
+    there = there.select("doc_id", "key", "start", "size", "span", _shingles(F.col("w"), k).alias("sh"), _hashes(F.col("w"), k).alias("h"))
+    prints = stored(there.select("doc_id", "key", "start", "size", "span", "sh", "h", simhash(F.col("h")).alias("print")).distinct(), "prints")  # h twice, else it's worked out again for each bit
 
-    mine = prints.select("doc_id", "start", "size", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("doc_id", "start", "size", "print", "b.*")
+    mine = prints.select("doc_id", "key", "start", "size", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("doc_id", "key", "start", "size", "print", "b.*")
     theirs = items.select("item_id", "size", F.col("print").alias("other"), F.explode(blocks(F.col("print"), radius)).alias("b")).select("item_id", "size", "other", "b.*")
     near = mine.join(theirs, ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= radius)
-    near = near.select("doc_id", "start", "size", "print", "item_id").distinct()
+    near = near.select("doc_id", "key", "start", "size", "print", "item_id").distinct()
     found = near.join(items.select("item_id", "size", F.col("sh").alias("theirs")), ["item_id", "size"])
-    found = found.join(prints.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("size").alias("z"), "span", "sh"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")) & (F.col("size") == F.col("z")))
-    found = found.select("doc_id", "item_id", "start", F.col("span").alias("size"), similarity(F.col("sh"), F.col("theirs")).alias("sim")).where(F.col("sim") >= least)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("sim", (-F.col("start")).alias("neg"), "size")).alias("x"))
-    return best.select("doc_id", "item_id", (-F.col("x.neg")).alias("start_word"), F.col("x.size").alias("n_words"), F.col("x.sim").alias("similarity"))
+    mine = prints.select(F.col("doc_id").alias("d"), F.col("key").alias("y"), F.col("start").alias("s"), F.col("size").alias("z"), "span", "sh")
+    found = found.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("y")) & (F.col("start") == F.col("s")) & (F.col("size") == F.col("z")))
+    return found.select("doc_id", "key", "item_id", "start", F.col("span").alias("size"), similarity(F.col("sh"), F.col("theirs")).alias("sim")).where(F.col("sim") >= least)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any benchmark item in them, with docs' own columns."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__found")), "left_anti")
+    """The rows of docs whose text has no benchmark item in it, with docs' own columns; a row goes by its text's 64-bit
+    digest, so others that share its id stay."""
+    found = _matches(docs, benchmark, SHINGLE, SIMILARITY, RADIUS, "doc_id", "text", "item_id", "text").select(F.col("key").alias("__found")).distinct()
+    return docs.join(found, F.xxhash64("text") == F.col("__found"), "left_anti")
