@@ -144,7 +144,7 @@ p as (select *, 'xx_' || lang || '_text_reg' as folder from f)
 select doc_id, folder || '/' || ch || '/' || st || '.txt' as path, t || chr(10) as content from p
 union all select distinct doc_id, folder || '/' || ch || '/title.txt', 'Chapter ' || chapter || chr(10) from p
 union all select distinct p.doc_id, folder || '/front/title.txt', trim(g.source) || chr(10) from p join g on g.doc_id = p.doc_id and g.i = 1
-union all select distinct doc_id, folder || '/LICENSE.md', 'Generated by UIS Premium.' || chr(10) from p""")
+union all select distinct doc_id, folder || '/LICENSE.md', 'Generated by versewright.' || chr(10) from p""")
 def package_entries(spark, sf):
     files, _ = packaging.package_files(_good(spark, sf), _starts(spark, sf), "xx", 0)
     return files.where("path not like '%manifest.json'")

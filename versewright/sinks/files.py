@@ -37,7 +37,7 @@ def file_name(language, book, resource, producer=None):
 
 # What a package's manifests say.
 PACKAGE_VERSION, OUTER_VERSION = 8, 2
-LICENSE = "Generated by UIS Premium."
+LICENSE = "Generated by versewright."
 LANGUAGE_NAMES = {"skr": "سرائیکی", "urd": "اردو", "ur": "اردو", "rus": "Russian", "ru": "Russian"}
 SOURCE_TRANSLATION = {"language_id": "en", "resource_id": "ulb", "checking_level": "3", "date_modified": 20170329, "version": "9"}
 
