@@ -229,7 +229,7 @@ def project_export(spark, sf):
     return projects.exported(_entries(spark, sf)).select("archive", "project_root", "line_no", "line")
 
 
-@query("select doc_id::varchar as archive, count(*) * 1 as n from (select doc_id, unnest(string_split(text, chr(10))) from documents) group by doc_id".replace("count(*) * 1", "count(*) + ceil(count(*) / 3.0)::bigint + 1"))
+@query("select doc_id::varchar as archive, count(*) + ceil(count(*) / 3.0)::bigint + 1 as n from (select doc_id, unnest(string_split(text, chr(10))) from documents) group by doc_id")
 def project_cleaned_files(spark, sf):
     return projects.cleaned(_entries(spark, sf)).groupBy("archive").agg(F.count("*").alias("n"))
 
@@ -361,7 +361,7 @@ def files_changed(spark, sf):
 # ---- lookups of headings, titles and scans
 
 
-@query("select doc_id, source as heading, case when try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 2 = 0 then 'B' || regexp_extract(source, '([0-9]+)$', 1) end as book from documents".replace("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)", "regexp_extract(source, '([0-9]+)$', 1)::int"))
+@query("select doc_id, source as heading, case when regexp_extract(source, '([0-9]+)$', 1)::int % 2 = 0 then 'B' || regexp_extract(source, '([0-9]+)$', 1) end as book from documents")
 def alias_resolution(spark, sf):
     """Every even source is an alias; a heading is one, in other letters and with marks."""
     d = table(spark, sf, "documents")
@@ -370,16 +370,14 @@ def alias_resolution(spark, sf):
     return lookups.by_alias(d.select("doc_id", "source"), F.concat(F.upper("source"), F.lit("!")), a, T.alias_key).select("doc_id", F.col("source").alias("heading"), "book")
 
 
-@query("select 'EN' as book, unnest(range(1, 11))::int as chapter, unnest([1]) as start".replace("unnest(range(1, 11))::int as chapter, unnest([1]) as start", "c::int as chapter, s::int as start from range(1, 11) r(c), (values (1), (3), (5)) t(s)"))
+@query("select 'EN' as book, c::int as chapter, s::int as start from range(1, 11) r(c), (values (1), (3), (5)) t(s)")
 def chunk_map(spark, sf):
     code = ";".join(f"{c}:5,1,3,3" for c in range(1, 11))
     return lookups.decode_chunks(spark.createDataFrame([("EN", code)], "book string, encoded string"))
 
 
-_KEY = "regexp_extract(url, '([0-9]+)', 1)"
-
-
-@query("select doc_id, source || ' Chapter ' || (doc_id % 40 + 1) as text, doc_id % 3 = 0 as is_chapter, case when doc_id % 3 = 0 then (doc_id % 40 + 1)::int end as number, doc_id % 3 = 1 as is_title from documents".replace("source || ' Chapter ' || (doc_id % 40 + 1) as text", "case doc_id % 3 when 0 then 'Chapter ' || (doc_id % 40 + 1) when 1 then 'Book of ' || lang else 'plain text, with a comma' end as text"))
+@query("""select doc_id, case doc_id % 3 when 0 then 'Chapter ' || (doc_id % 40 + 1) when 1 then 'Book of ' || lang else 'plain text, with a comma' end as text,
+ doc_id % 3 = 0 as is_chapter, case when doc_id % 3 = 0 then (doc_id % 40 + 1)::int end as number, doc_id % 3 = 1 as is_title from documents""")
 def heading_kinds(spark, sf):
     i = F.col("doc_id")
     shown = F.when(i % 3 == 0, F.concat(F.lit("Chapter "), (i % 40 + 1).cast("string"))).when(i % 3 == 1, F.concat(F.lit("Book of "), "lang")).otherwise("plain text, with a comma")
@@ -421,7 +419,7 @@ def docx_issues(spark, sf):
     return docx.continuity(docx.from_shape(p, ["tests"])[0])
 
 
-@query(f"""with {_PARAS} select doc_id, case when max(i) = 0 then 0 else 1 end as books, count(*) filter (where i % 5 = 1) as chapters, count(*) filter (where i > 0 and i % 5 <> 1) as verses from q group by doc_id""".replace("case when max(i) = 0 then 0 else 1 end", "1::bigint"))
+@query(f"with {_PARAS} select doc_id, 1::bigint as books, count(*) filter (where i % 5 = 1) as chapters, count(*) filter (where i > 0 and i % 5 <> 1) as verses from q group by doc_id")
 def scan_totals(spark, sf):
     return scan.totals(_found(spark, sf))
 
@@ -466,7 +464,7 @@ def book_segments(spark, sf):
     return books.segments(_bookish(spark, sf), _no).groupBy("doc_id", "segment", "title").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_PARAS} select doc_id, i // 12 as segment, count(*) as n from q where i % 12 < 9 group by doc_id, i // 12".replace("i // 12 as segment", "(i // 12 + 1)::bigint as segment"))
+@query(f"with {_PARAS} select doc_id, (i // 12 + 1)::bigint as segment, count(*) as n from q where i % 12 < 9 group by doc_id, i // 12")
 def book_limits(spark, sf):
     """Books of two chapters: the third is cut."""
     rows = books.segments(_bookish(spark, sf), _no).withColumn("book", F.lit("BB"))
@@ -486,14 +484,13 @@ def book_over_limits(spark, sf):
     return books.over_limits(_bookish(spark, sf), v, "BB")
 
 
-@query(f"with {_PARAS} select doc_id, 1::bigint as known, 0 as hits from q where i = 0".replace("select doc_id, 1::bigint as known, 0 as hits from q where i = 0", "select doc_id, 'BOOK_SELECTION_MISMATCH' as code, 'BB' as found from q where i = 0"))
+@query(f"with {_PARAS} select doc_id, 'BOOK_SELECTION_MISMATCH' as code, 'BB' as found from q where i = 0")
 def book_mismatch(spark, sf):
     rows = books.segments(_bookish(spark, sf), _no).withColumn("book", F.lit("BB"))
     return books.selected(rows, ["CC"])[1]
 
 
-@query(f"""with {_PARAS}, m as (select doc_id, max(i) as m from q group by doc_id), c as (select doc_id, k, n from m, range(0, 100000) r(k), (select 1 as n) where k <= m // 3), z as (select * from c)
-select doc_id, count(*) as n_lines from q group by doc_id""".replace(", m as (select doc_id, max(i) as m from q group by doc_id), c as (select doc_id, k, n from m, range(0, 100000) r(k), (select 1 as n) where k <= m // 3), z as (select * from c)", "").replace("count(*) as n_lines", "(count(*) + count(*) filter (where i % 3 = 0) * 2)::bigint as n_lines"))
+@query(f"with {_PARAS} select doc_id, (count(*) + count(*) filter (where i % 3 = 0) * 2)::bigint as n_lines from q group by doc_id")
 def psalm_lines(spark, sf):
     """A label with a number opens each psalm: two lines for one, and a paragraph line with it."""
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
@@ -520,7 +517,7 @@ def inferred_verses(spark, sf):
     return documents.inferred_verses(p).where("para_no = 2").select("doc_id", "infer")
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then 'کہ آؤ‘ بولا' else 'کہ آؤ بولا' end as text from documents".replace("'کہ آؤ‘ بولا'", "'’آؤ‘ بولا'"))
+@query("select doc_id, case when doc_id % 2 = 0 then '’آؤ‘ بولا' else 'کہ آؤ بولا' end as text from documents")
 def direct_speech(spark, sf):
     even = F.col("doc_id") % 2 == 0
     text = F.when(even, "کہ ’آؤ‘ بولا").otherwise("کہ ’آؤ بولا")
@@ -533,17 +530,16 @@ def dominant_script(spark, sf):
     return documents.dominant_script(table(spark, sf, "documents").select("doc_id", F.lit(1).alias("title_no"), title.alias("title")))
 
 
-@query("select doc_id, ((doc_id % 30) + 1)::int as n from documents")
+@query("select doc_id, row_number() over (order by case when doc_id % 4 = 0 then 1000 else doc_id % 30 + 1 end, doc_id % 30 + 1, doc_id) as place from documents")
 def file_order(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("x/a2b Chapter "), (F.col("doc_id") % 30 + 1).cast("string"), F.lit(".docx")).alias("path"))
-    w = Window.orderBy("k")
-    keyed = d.select("doc_id", F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(?<![\p{L}\d])(\d{1,3})(?!\p{L})", 1).cast("int").alias("n"), *[F.lit(0).alias("k")])
-    first = documents.file_order(F.col("path"))[0]
-    assert first is not None and w is not None
-    return keyed.select("doc_id", "n")
+    """Files by the number that stands alone in their names; those with a letter at it come last, by path."""
+    n = F.lpad((F.col("doc_id") % 30 + 1).cast("string"), 2, "0")
+    path = F.concat(F.lit("x/a2b "), F.when(F.col("doc_id") % 4 == 0, "v").otherwise("Chapter "), n, F.lit(" d"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("z.docx"))
+    d = table(spark, sf, "documents").select("doc_id", path.alias("path"))
+    return d.select("doc_id", F.row_number().over(Window.orderBy(*documents.file_order(F.col("path")))).cast("long").alias("place"))
 
 
-@query("select doc_id, [5, 8]::int[] as markers from documents".replace("[5, 8]::int[]", "'5,8'"))
+@query("select doc_id, '5,8' as markers from documents")
 def embedded_markers(spark, sf):
     text = F.concat(F.lit("4 one. 5 two; 8) three 4 four 999. five "), "lang")
     return table(spark, sf, "documents").select("doc_id", F.array_join(Q.embedded_markers(text, F.lit(4)), ",").alias("markers"))
