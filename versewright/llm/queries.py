@@ -77,10 +77,17 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL)).select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import digests, periodic_runs, planted
+
+    return digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_token_counts, op3_decontamination, op4_near_dedup, op5_chat_format,
         op6_weak_labels, op7_secret_scan, op8_quality_rules, op9_zip_warc, op10_piece_codec,
+        op11_periodic_runs,
     )}
 
 
