@@ -83,11 +83,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_token_counts, op3_decontamination, op4_near_dedup, op5_chat_format,
         op6_weak_labels, op7_secret_scan, op8_quality_rules, op9_zip_warc, op10_piece_codec,
-        op11_periodic_runs,
+        op11_periodic_runs, op13_url_filter,
     )}
 
 
@@ -116,6 +122,37 @@ select page_id, octet_length(encode(h))::bigint as payload_bytes,
  case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to from k"""
 
 
+def _op13() -> str:
+    """Rules, features, training and scores in SQL: the descent is a recursive query over one row."""
+    from . import url_filter as u
+
+    gram = lambda c, n, part: f"list_transform(range(len({c}) - {n - 1}), lambda i: ({' + '.join(f'{c}[i + {j + 1}]::bigint * {u.BASE ** (n - 1 - j)}' for j in range(n))} + {10007 * (2 * n + part)}) % {u.BUCKETS})"
+    grams = ", ".join(gram(c, n, part) for part, c in enumerate(("hc", "pc")) for n in u.SIZES)
+    code = lambda x: f"list_concat([2], list_transform(regexp_extract_all({x}, '(?s).'), lambda c: unicode(c)), [3])"
+    fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
+    rules = sorted(u.RULES, key=lambda r: (-len(r[0]) - len(r[1]), -len(r[0])))
+    case = lambda out: " ".join(f"when {fits(h, p)} then '{out(h, p, v)}'" for h, p, v in rules)
+    rows = ", ".join(f"('{x}', {y})" for x, y in u.labelled_rows())
+    return f"""
+with recursive lab as (select url, y::double as y from (values {rows}) v(url, y)),
+src as (select url from pages where url is not null union select url from lab),
+rest as (select url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from src),
+part as (select url, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
+coded as (select *, {code('host')} as hc, {code('path')} as pc from part),
+f as materialized (select url, host, path, list_sort(list_distinct(flatten([{grams}]))) as x from coded),
+r as (select list(y order by lab.url, y) as ys, list(x order by lab.url, y) as xs from lab join f using (url)),
+k as materialized (select ys, xs, list_transform(xs, lambda a: list_transform(xs, lambda b: len(list_intersect(a, b)) / sqrt(len(a)::double * len(b)) + {u.CONSTANT ** 2})) as k from r),
+it as (select 0 as t, list_transform(ys, lambda z: 0.0::double) as s from k
+ union all select t + 1, list_transform(range(len(s)), lambda j: s[j + 1] + {u.STEP} * (ys[j + 1] - 1 / (1 + exp(-list_dot_product(k.k[j + 1], s))))) from it, k where t < {u.ROUNDS}),
+e as (select unnest(xs) as x, unnest(s) as s from it, k where t = {u.ROUNDS}),
+w as (select h, sum(w) as w from (select unnest(x) as h, round(s / sqrt(len(x)::double) * {u.UNIT})::bigint as w from e) group by h),
+c as (select sum(round(s * {u.CONSTANT ** 2 * u.UNIT})::bigint) as c from e),
+total as (select url, coalesce(sum(w), 0) as s from (select url, unnest(x) as h from f) left join w using (h) group by url),
+j as (select f.url, host, path, coalesce(s, 0)::double + c.c::double * sqrt(len(x)::double) as s from f left join total using (url), c)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, case {case(lambda h, p, v: h + p)} end as rule,
+ case {case(lambda h, p, v: v)} when s > 0 then 'block' else 'allow' end as verdict from pages left join j using (url)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The other operators have no SQL form (sketches, models, tokenizers, automata): tests hold them against brute force."""
-    return {"op8_quality_rules": _OP8, "op9_zip_warc": _OP9}
+    """The other operators have no SQL form (sketches, other models, tokenizers, automata): tests hold them against brute force."""
+    return {"op8_quality_rules": _OP8, "op9_zip_warc": _OP9, "op13_url_filter": _op13()}
