@@ -83,6 +83,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judged
 
@@ -93,7 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_token_counts, op3_decontamination, op4_near_dedup, op5_chat_format,
         op6_weak_labels, op7_secret_scan, op8_quality_rules, op9_zip_warc, op10_piece_codec,
-        op11_periodic_runs, op13_url_filter,
+        op11_periodic_runs, op12_source_audit, op13_url_filter,
     )}
 
 
@@ -122,6 +128,23 @@ select page_id, octet_length(encode(h))::bigint as payload_bytes,
  case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to from k"""
 
 
+_OP12 = """
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term from t group by lang, term having count(distinct r) >= 10),
+c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by all),
+v as (select lang, count(*) as v from k group by lang),
+g as (select lang, source, coalesce(any_value(v), 0)::hugeint as v, coalesce(sum(n), 0)::hugeint as total from (select distinct lang, source from d) left join c using (lang, source) left join v using (lang) group by all),
+p as (select lang, source, term, coalesce(n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 2) // (total + 2 * v) as p from g join k using (lang) left join c using (lang, source, term)),
+l as (select lang, term, 1 + 1000000000::hugeint * (sum(n) + 2) // (max(total) + 2 * max(v)) as q from c join (select lang, sum(total) as total, max(v) as v from g group by lang) using (lang) group by lang, term),
+s as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+ union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p join l using (lang, term) where n > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from x)
+select lang, source, part, item, value, rank from o where part = 'pair' or rank <= 10"""
+
+
 def _op13() -> str:
     """Rules, features, training and scores in SQL: the descent is a recursive query over one row."""
     from . import url_filter as u
@@ -155,4 +178,4 @@ select page_id, coalesce(host, '') as host, coalesce(path, '') as path, case {ca
 
 def oracle_sql() -> dict[str, str]:
     """The other operators have no SQL form (sketches, other models, tokenizers, automata): tests hold them against brute force."""
-    return {"op8_quality_rules": _OP8, "op9_zip_warc": _OP9, "op13_url_filter": _op13()}
+    return {"op8_quality_rules": _OP8, "op9_zip_warc": _OP9, "op12_source_audit": _OP12, "op13_url_filter": _op13()}
