@@ -57,7 +57,8 @@ def labelled_rows() -> list[tuple[str, int]]:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(labelled_rows(), "url string, label int")
+    rows = ", ".join(f"('{url}', {label})" for url, label in labelled_rows())
+    return spark.sql(f"select url, label from values {rows} as t (url, label)")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
