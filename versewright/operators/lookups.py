@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import floored
+
 #: Reference tables of so many rows at most are broadcast; larger ones take part in shuffle joins.
 BROADCAST_ROWS = 200_000
 
@@ -22,30 +24,25 @@ def with_expected(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(small(dim), list(keys), "left")
 
 
-#: Starts in one array of floor().
-ARRAY_STARTS = 1000
+#: A start table of so many rows, and of so many a key, at most is broadcast as arrays: 8 MB or less.
+ARRAY_ROWS, ARRAY_STARTS = 100_000, 1000
 
 
 def floor(df: DataFrame, value: str, dim: DataFrame, start: str, keys: Sequence[str] = (), name: str = "floor") -> DataFrame:
     """df with the greatest start that is no more than the value; null before the first, and for a null value.
 
-    Starts lie in sorted arrays of some ARRAY_STARTS at most, by key and by ranges of starts, each with the last start
-    before its range in front. A row finds its range by the bounds and its start in that array, so it meets one row of
-    the reference table, however many starts there are. Arrays are broadcast only up to BROADCAST_ROWS rows.
+    A small start table goes to all tasks, as a sorted array of each key; any other is merged with df in one order
+    (ordered.floored), so that neither a key's rows nor its starts are ever in one place.
     """
     starts = dim.where(F.col(start).isNotNull()).select(*keys, F.col(start).alias("__v")).distinct()
-    n = starts.count()
-    parts = min(1000, n // ARRAY_STARTS)
-    bounds = starts.agg(F.percentile_approx("__v", [i / (parts + 1) for i in range(1, parts + 1)], 10_000)).first()[0] if parts else []
-    part = lambda v: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= v)) if bounds else F.lit(0)
-    arrays = starts.withColumn("__part", part(F.col("__v"))).groupBy(*keys, "__part").agg(F.array_sort(F.collect_set("__v")).alias("__s"))
-    if parts:  # a value below the first start of its range belongs to the last start of the ranges before
-        every = starts.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("__part")) if keys else df.sparkSession.range(parts + 1).select(F.col("id").cast("int").alias("__part"))
-        w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        arrays = every.join(arrays, [*keys, "__part"], "left").withColumn("__b", F.max(F.element_at("__s", -1)).over(w))
-        arrays = arrays.select(*keys, "__part", F.concat(F.when(F.col("__b").isNotNull(), F.array("__b")).otherwise(F.slice(F.array("__b"), 1, 0)), F.coalesce("__s", F.slice(F.array("__b"), 1, 0))).alias("__s"))
-    joined = df.withColumn("__part", part(F.col(value))).join(small(arrays), [*keys, "__part"], "left")
-    return joined.withColumn(name, F.try_element_at(F.filter("__s", lambda s: s <= F.col(value)), F.lit(-1))).drop("__s", "__part")
+    n = starts.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (n[0] or 0) > ARRAY_ROWS or (n[1] or 0) > ARRAY_STARTS:
+        return floored(df, value, dim, start, keys, name)
+    if keys:
+        joined = df.join(F.broadcast(starts.groupBy(*keys).agg(F.array_sort(F.collect_list("__v")).alias("__s"))), list(keys), "left")
+    else:
+        joined = df.withColumn("__s", F.array(*[F.lit(r[0]) for r in starts.orderBy("__v").collect()]))
+    return joined.withColumn(name, F.try_element_at(F.filter("__s", lambda s: s <= F.col(value)), F.lit(-1))).drop("__s")
 
 
 def next_start(dim: DataFrame, keys: Sequence[str], start: str) -> DataFrame:

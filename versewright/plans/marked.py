@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from versewright.functions import headings as H
 from versewright.functions import quotes as Q
 from versewright.functions import text as T
-from versewright.operators import audit, books, documents, docx, lookups, packaging, projects, scan, sequences, usfm
+from versewright.operators import audit, books, documents, docx, lookups, ordered, packaging, projects, scan, sequences, usfm
 
 from .catalog import query, table
 
@@ -330,9 +330,13 @@ select doc_id::varchar as path, row_number() over (partition by doc_id order by
  substr(line, greatest(1, pos - 23), least(pos, 24)) || chr(8206) || substr(line, pos + 1, 32) as before_excerpt, substr(line, greatest(1, pos - 23), least(pos, 24) + 32) as after_excerpt from m""")
 def audit_findings(spark, sf):
     """A mark before the first " a" of each line, taken out again."""
+    return _marked_findings(spark, sf).select("path", "seq", "type", "line", "column", "reference", "original", "replacement", "before_excerpt", "after_excerpt")
+
+
+def _marked_findings(spark, sf) -> DataFrame:
     once = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.instr(x, " a") > 0, F.concat(F.substring(x, F.lit(1), F.instr(x, " a") - 1), F.lit("\u200e"), F.substring(x, F.instr(x, " a"), F.char_length(x)))).otherwise(x)), "\n")
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), once.alias("text"))
-    return audit.trail(d, (T.BIDI,)).select("path", "seq", "type", "line", "column", "reference", "original", "replacement", "before_excerpt", "after_excerpt")
+    return audit.trail(d, (T.BIDI,))
 
 
 @query("""with n as (select sum(length(text) - length(replace(text, chr(10), '')) + 1)::bigint as n from documents)
@@ -350,7 +354,14 @@ def report_order(spark, sf):
     """Findings in the order of a report, numbered."""
     i = F.col("doc_id")
     d = table(spark, sf, "documents").select(F.concat(F.lit("a"), i % 3).alias("archive"), F.concat(F.lit("a"), i % 3, F.lit("/"), i % 11 + 1, F.lit("/"), i, F.lit(".txt")).alias("path"), F.concat(i % 11 + 1, F.lit(":"), F.when(i % 2 == 0, (i % 7 + 1).cast("string")).otherwise("heading")).alias("reference"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("seq"))
-    return d.select("archive", "path", F.row_number().over(Window.orderBy(*audit.report_keys())).cast("long").alias("row_no"))
+    return ordered.numbered(d, audit.report_keys()).select("archive", "path", "row_no")
+
+
+@query("""with w as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents)
+select 'technical' as section, doc_id::varchar as path, (i + 1)::int as line, '[U+200E]' as original, row_number() over (order by doc_id::varchar, i) as row_no from w where contains(line, ' a')""")
+def report_rows(spark, sf):
+    """The rows of a report on what audit_findings finds, numbered by section."""
+    return audit.report_rows(_marked_findings(spark, sf)).select("section", "path", "line", "original", "row_no")
 
 
 @query("select (select count(*) from documents) as files_scanned, (select count(*) from documents where contains(text, ' a')) as files_changed")
@@ -530,13 +541,27 @@ def dominant_script(spark, sf):
     return documents.dominant_script(table(spark, sf, "documents").select("doc_id", F.lit(1).alias("title_no"), title.alias("title")))
 
 
-@query("select doc_id, row_number() over (order by case when doc_id % 4 = 0 then 1000 else doc_id % 30 + 1 end, doc_id % 30 + 1, doc_id) as place from documents")
+@query("""with p as (select page_id, regexp_replace(url, '[?#].*$', '') as path from pages), n as (select *, try_cast(regexp_extract(string_split(path, '/')[-1], '(?:^|[^\\p{L}0-9])([0-9]{1,3})(?:$|[^\\p{L}])', 1) as int) as n from p)
+select page_id, path, row_number() over (order by n nulls last, lower(path), path, page_id) as place from n""")
 def file_order(spark, sf):
-    """Files by the number that stands alone in their names; those with a letter at it come last, by path."""
-    n = F.lpad((F.col("doc_id") % 30 + 1).cast("string"), 2, "0")
-    path = F.concat(F.lit("x/a2b "), F.when(F.col("doc_id") % 4 == 0, "v").otherwise("Chapter "), n, F.lit(" d"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("z.docx"))
-    d = table(spark, sf, "documents").select("doc_id", path.alias("path"))
-    return d.select("doc_id", F.row_number().over(Window.orderBy(*documents.file_order(F.col("path")))).cast("long").alias("place"))
+    """The pages' paths by the number that stands alone in their last part; those without come last, by path."""
+    d = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("path"))
+    return ordered.numbered(d, [*documents.file_order(F.col("path")), F.col("page_id").asc()], name="place")
+
+
+@query("with s as (select distinct o_totalprice as start from orders where o_totalprice is not null) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, start as floor from lineitem asof left join s on l_extendedprice >= start")
+def asof_merge(spark, sf):
+    """The greatest total of an order that is no more than a line's price: as many starts as orders, merged."""
+    return ordered.floored(table(spark, sf, "lineitem"), "l_extendedprice", table(spark, sf, "orders"), "o_totalprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "floor")
+
+
+@query("select conv_id, turn, max(case when role = 'user' then turn end) over (partition by conv_id order by turn rows unbounded preceding) as user_turn, max(case when role = 'user' then turn end) over (order by conv_id, turn rows between unbounded preceding and 1 preceding) is not null as any_before from conversations")
+def carried_over(spark, sf):
+    """The last turn of a user, by conversation and over the whole table, carried over the borders of partitions."""
+    d = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("own"))
+    d = ordered.carried(d, "own", ["conv_id"], [F.col("turn").asc()], "user_turn")
+    d = ordered.carried(d, "own", [], [F.col("conv_id").asc(), F.col("turn").asc()], "any", inclusive=False)
+    return d.select("conv_id", "turn", "user_turn", F.col("any").isNotNull().alias("any_before"))
 
 
 @query("select doc_id, '5,8' as markers from documents")
