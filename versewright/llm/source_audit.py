@@ -26,7 +26,7 @@ from .common import drop_stored, stored
 #: Documents of a language that a kept term is in, at least; units of a share; terms in a group's report.
 LEAST_DOCS, UNIT, TOP = 10, 1_000_000_000, 10
 #: Distinct (group, term) counts that a Python worker holds before it hands them on.
-HELD = 200_000
+HELD = 500_000
 #: Sources in a tile of the matrix of pairs, and tiles that a worker holds (8 MB each).
 TILE, TILES = 1024, 8
 
@@ -43,13 +43,15 @@ def counted(docs: DataFrame) -> DataFrame:
         d: dict[tuple[str, str], Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = [(g, t, k, d[g][t]) for g, c in n.items() for t, k in c.items()] + [(g, None, 0, 0) for g in n]
-            for i in range(0, len(rows), 50_000):
-                part = rows[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0][0] for r in part], pa.string()), pa.array([r[0][1] for r in part], pa.string()),
-                    pa.array([r[1] for r in part], pa.binary()).cast(pa.string()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.int64()),
-                ], ["lang", "source", "term", "n", "docs"])
+            for (lang, source), c in n.items():
+                terms, seen = list(c), d[lang, source]
+                for i in range(0, len(terms) or 1, 50_000):
+                    part = terms[i : i + 50_000]
+                    size = len(part) + (i == 0)  # with the group's own row
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([lang] * size), pa.array([source] * size), pa.array([None] * (i == 0) + part, pa.binary()).cast(pa.string()),
+                        pa.array([0] * (i == 0) + list(map(c.__getitem__, part)), pa.int64()), pa.array([0] * (i == 0) + list(map(seen.__getitem__, part)), pa.int64()),
+                    ], ["lang", "source", "term", "n", "docs"])
             n.clear()
             d.clear()
 
