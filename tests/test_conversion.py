@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from versewright.functions import headings as H
-from versewright.operators import books, docx, projects, scan
+from versewright.operators import books, conversion, docx, projects, scan
 from versewright.sources import files as sources
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -24,7 +24,7 @@ def archive(entries):
 
 def shape(spark, *texts, keep=False, book=None, listed=()):
     d = spark.createDataFrame([("d", i, t, i in listed) for i, t in enumerate(texts)], "doc_id string, para_no int, text string, is_numbered boolean")
-    lines, issues = docx.from_shape(d, ["genesis", "exodus"], keep, book)
+    lines, issues = conversion.from_shape(d, ["genesis", "exodus"], keep, book)
     return [r["line"] for r in lines.orderBy("line_no").collect()], [r["code"] for r in issues.collect()]
 
 

@@ -80,14 +80,16 @@ def test_states_of_an_automaton(spark, parts):
     rnd = random.Random(parts)
     moves = [[rnd.randrange(6) for _ in range(6)] for _ in range(4)]
     rows = [("long" if i % 4 else rnd.choice(["a", "z", None]), i, rnd.choice([0, 1, 2, 3, None])) for i in range(900)]
-    got = ordered.states(table(spark, rows, "k string, i int, s int"), ["k"], [F.col("i")], "s", moves, 2, parts=parts)
+    step = lambda state, s: (moves[s][state], 10 * state + s)
+    got = ordered.scanned(table(spark, rows, "k string, i int, s int"), ["k"], [F.col("i")], "s", step, 6, 2, parts=parts)
     now, want = {}, {}
     for k, i, s in rows:
-        want[i] = now.get(k, 2)
-        now[k] = want[i] if s is None else moves[s][want[i]]
-    assert {r["i"]: r["state"] for r in got.collect()} == want and "SinglePartition" not in plan(got)
-    alone = ordered.states(table(spark, rows, "k string, i int, s int"), [], [F.col("i")], "s", moves, 2, parts=parts)
+        state = now.get(k, 2)
+        want[i] = None if s is None else 10 * state + s
+        now[k] = state if s is None else moves[s][state]
+    assert {r["i"]: r["output"] for r in got.collect()} == want and "SinglePartition" not in plan(got)
+    alone = ordered.scanned(table(spark, rows, "k string, i int, s int"), [], [F.col("i")], "s", step, 6, 2, parts=parts)
     state = 2
     for r in alone.orderBy("i").collect():
-        assert r["state"] == state
+        assert r["output"] == (None if r["s"] is None else 10 * state + r["s"])
         state = state if r["s"] is None else moves[r["s"]][state]

@@ -140,55 +140,3 @@ def chapter_line(text: Column) -> Column:
     """A chapter heading as it is shown: spacing set right; digits are Persian where the script is Arabic."""
     c = T.paragraph_text(text)
     return F.when(T.has_arabic(c, wide=False), T.persian_digits(F.trim(c))).otherwise(F.trim(c))
-
-
-# ---- the same for single strings, in a pass that goes from paragraph to paragraph
-
-
-def _java(pattern: str) -> re.Pattern:
-    """A pattern in Python's dialect: classes of letters and marks spelled out."""
-    flags = re.I if pattern.startswith("(?i") else 0
-    body = re.sub(r"^\(\?i?U\)", "", pattern).replace(r"[\p{L}\p{M}]", _PY_LETTER).replace(r"[\p{L}\p{M}\s\-]", rf"(?:{_PY_LETTER}|[\s\-])").replace(r"[\p{L}\p{M}\s]", rf"(?:{_PY_LETTER}|\s)")
-    return re.compile(body, flags)
-
-
-#: Letters and marks: what is no digit, space, connector, punctuation or symbol. Marks that Python counts as no word are those of Arabic, Hebrew and Indic scripts.
-_PY_LETTER = r"(?:[^\W\d_]|[̀-ͯ҃-҉֑-ֽׁׂؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۤۧۨ-ۭऀ-ः़ा-ॏ])"
-_CHAPTER, _TITLE, _PLAIN, _STANDALONE, _EQUIVALENT, _NUMERIC, _LABEL, _CREDIT = (_java(p) for p in (CHAPTER, TITLE_LATIN, PLAIN, STANDALONE, EQUIVALENT, NUMERIC, LABEL, CREDIT))
-_TO_ASCII = str.maketrans(P.ARABIC_DIGITS + P.PERSIAN_DIGITS, "0123456789" * 2)
-_TO_PERSIAN = str.maketrans("0123456789", P.PERSIAN_DIGITS)
-
-
-def number(raw: str) -> int | None:
-    """A positive number in any of the digit scripts."""
-    t = raw.strip().translate(_TO_ASCII)
-    return int(t) if re.fullmatch("[0-9]{1,9}", t) and int(t) > 0 else None
-
-
-def word_count(text: str) -> int:
-    return len(re.findall(f"{_PY_LETTER}+", text))
-
-
-def py_title(text: str, known) -> bool:
-    """converted_title for a string; known(text) tells whether an alias names a book in it."""
-    if "," in text or _CHAPTER.match(text):
-        return False
-    alias = not any(c in ALIAS_STOPS for c in text) and 1 <= word_count(text) <= ALIAS_WORDS and len(text.strip()) <= ALIAS_CHARS
-    return any(p.match(text) for p in (_TITLE, _PLAIN, _STANDALONE, _EQUIVALENT)) or (alias and known(text))
-
-
-def py_numeric_title(text: str) -> bool:
-    t = text.translate(_TO_ASCII)
-    first = re.match(r"\s*(\d+)", t)
-    return bool(_NUMERIC.match(t)) and not _CHAPTER.match(text) and not any(c in TITLE_STOPS for c in text) and not (first and int(first[1]) > MOST_BOOKS)
-
-
-def py_credit(text: str) -> bool:
-    if _LABEL.match(text):
-        return True
-    return number(text) is None and 2 <= word_count(text) <= 6 and not any(c in text for c in "،,.۔") and bool(_CREDIT.match(text))
-
-
-def py_chapter(text: str) -> int | None:
-    m = _CHAPTER.match(text)
-    return number(m[1]) if m else None

@@ -1,13 +1,9 @@
-"""Word-processor documents to marked-up lines: by paragraph styles, else by the shape of each paragraph.
-
-A document's paragraphs depend on those before them, so each document is one sequential pass (applyInPandas by
-document); what comes before it (runs, notes, spacing) and after it (headings set free, remaps, checks) is columns.
-"""
+"""Word-processor documents to marked-up lines by paragraph styles, and what is done with converted lines: headings set
+free, remaps, checks. conversion.py reads paragraphs without such styles."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,28 +11,15 @@ from pyspark.sql import functions as F
 
 from versewright.functions import headings as H
 from versewright.functions import patterns as P
-from versewright.functions import quotes as Q
 from versewright.functions import text as T
 
+from .conversion import strip
+from .ordered import numbered
+
 # Style ids, custom properties, marker patterns and the names of issues.
 STYLE_TITLE, STYLE_LABEL, STYLE_PARAGRAPH, STYLE_VERSE = "USFM_MT", "USFM_CL", "USFM_P", "USFM_V"
 HEADERS = {"USFM_ID": "id", "USFM_IDE": "ide", "USFM_H": "h", "USFM_TOC1": "toc1", "USFM_TOC2": "toc2", "USFM_TOC3": "toc3"}
 _D = "[0-9٠-٩۰-۹]"
-_DASHES = r"^(?:(?:[-–—]+\s*)*)"
-_SLASH = r"(?:[vV]\s*/?|/\s*[vV])"
-MARKER_ALONE = (re.compile(rf"^\\v\s*({_D}{{1,3}})\s*[\\.)۔:]?\s*$", re.I), re.compile(rf"{_DASHES}{_SLASH}\s*({_D}{{1,3}})\s*[-–—]?\s*$"))
-NUMBER_ALONE = re.compile(rf"^({_D}{{1,3}})\s*[.)۔:]?\s*$")
-MARKER_INLINE = (re.compile(rf"^\\v\s*({_D}{{1,3}})(?!{_D})\s*[\\.)۔:]?\s*(.+)$", re.I), re.compile(rf"{_DASHES}{_SLASH}\s*({_D}{{1,3}})\s*[-–—]?\s+(.+)$"))
-MARKER_INSIDE = re.compile(rf"\\v\s*({_D}{{1,3}})(?!{_D})\s*[\\.)۔:]?\s*", re.I)
-VERSE = re.compile(rf"^({_D}{{1,3}})(?:\s*[.)۔:]\s*|\s+)(.+)$")
-VERSE_LOOSE = re.compile(rf"^({_D}{{1,3}})(.+)$")
-LEADING = re.compile(r"""^[\s"'«“\[(]*(\d{1,3})\s*[.)]?\s*(\S.*)$""")
-TITLE_CHAPTER = re.compile(rf"^(.+?)\s+({'|'.join(H.CHAPTER_WORDS)})\s*({_D}+)\s*$", re.I)
-_HEAD = rf"(?:{H._PY_LETTER}+\s+){{0,4}}(?:{'|'.join(H.CHAPTER_WORDS)})\s*(?P<n>{_D}+)"
-EMBEDDED_CHAPTER = re.compile(rf"^(?P<before>.+?)\s+(?P<head>{_HEAD})\s+(?P<after>(?:\\[vV]\s*{_D}|{_D}{{1,3}}\s*[.)۔:]).*)$", re.I)
-INLINE_TITLE = re.compile(rf"^(?P<before>.*?[.!?])\s+(?P<title>(?:(?:\d+|{'|'.join(H.ORDINALS + H.ROMAN)})\s+)?(?:(?:{'|'.join(H.BOOK_WORDS)})\s+[^()]{{1,140}}|(?:\d+\s+[^()]{{1,120}}|{'|'.join(H.PSALTER)}))\((?:\d+\s*)?[A-Za-z][^)]+\))\s*(?P<after>.*)$")
-PHRASE_END = ".!?;:”»"
-OPENERS = "\"'«“[("
 REMAP_BOOK, REMAP_START = "Числа", "После"
 
 
@@ -47,356 +30,39 @@ def headers(props: DataFrame) -> DataFrame:
     return d.select("doc_id", F.col("m.no").alias("no"), F.concat(F.lit("\\"), "m.marker", F.lit(" "), F.trim("value")).alias("line"))
 
 
-def body_lead(text: str) -> str:
-    """A verse's text without stops in front."""
-    return re.sub(r"^[.)۔:]+\s*", "", text.strip())
-
-
-def verse_lead(text: str) -> str:
-    """An initial that was set twice counts once: a capital and its small letter, or a doubled pair before a blank."""
-    t = text.lstrip()
-    if len(t) > 2 and t[0].isalpha() and t[1].isalpha() and t[0].lower() == t[1].lower():
-        t = t[3:] if t[2].isspace() else t[0] + t[2:] if t[2].isalpha() else t
-    return t.lstrip()
-
-
-def pending_text(text: str, number: int) -> str:
-    """The text behind a marker that stood alone: without that number, or without the last digit of it, in front."""
-    m = re.match(rf"^\s*({_D}{{1,3}})\s*[.)۔:]?\s+(.+)$", text)
-    if m and H.number(m[1]) == number:
-        return m[2].strip()
-    m = re.match(rf"^\s*({_D})\s+(.+)$", text)
-    if m and number >= 10 and H.number(m[1]) == number % 10:
-        return m[2].strip()
-    return text.strip()
-
-
-def explicit_verses(first: int, text: str) -> tuple[list[tuple[int, str]], int | None]:
-    """(number, text) of verses parted by markers, and the number of a marker that nothing follows."""
-    out, at, now, any_ = [], 0, first, False
-    for m in MARKER_INSIDE.finditer(text):
-        if (n := H.number(m[1])) is None:
-            continue
-        if piece := text[at : m.start()].strip():
-            out.append((now, piece))
-        now, at, any_ = n, m.end(), True
-    if tail := text[at:].strip():
-        out.append((now, tail))
-    alone = now if any_ and not tail else None
-    return (out or ([] if alone else [(first, text.strip())])), alone
-
-
-def merged_verses(first: int, text: str) -> list[tuple[int, str]]:
-    """Verses run together, as quotes.split_verses parts them, with what only conversions meet: a last digit of the
-    number that leaked in front or behind a marker, and a next number at a boundary that the first way missed."""
-    tail = re.match(rf"^({_D})(?!{_D})\s*[.)۔:]?\s*", text)
-    if first >= 10 and tail and H.number(tail[1]) == first % 10:
-        text = text[tail.end() :]
-    out: list[tuple[int, str]] = []
-    for n, t in Q.split_verses(first, text):
-        if out and n >= 10:  # the piece before ends in this number's last digit, with a boundary before it
-            m = re.search(rf"(?:^|(?<=[{re.escape(P.VERSE_BOUNDARY)}]))\s*({_D})\s*$", out[-1][1])
-            if m and H.number(m[1]) == n % 10:
-                out[-1] = (out[-1][0], out[-1][1][: m.start()].rstrip())
-        out.append((n, t))
-    out = [x for x in out if x[1]] or [(first, text.strip())]
-    if len(out) == 1:
-        for m in re.finditer(str(first + 1), text):
-            before = text[: m.start()]
-            glued = before[-1:] and not before[-1].isspace()
-            edge = before[-1:] in P.VERSE_BOUNDARY if glued else before.rstrip()[-1:] in ("", *P.VERSE_BOUNDARY)
-            left, right = before.strip(), re.sub(r"^\s*[.)۔:]?\s*", "", text[m.end() :]).strip()
-            if before and not before[-1].isdigit() and edge and left and right:
-                return [(first, left), (first + 1, right)]
-    return out
-
-
-class Converter:
-    """Lines of one document from its paragraphs in order. What a paragraph is, is asked of the readers one after
-    another; the first that knows it makes its lines. ``keep`` preserves the numbers as they stand in the document."""
-
-    def __init__(self, known: Callable[[str], bool], keep: bool = False, book: str | None = None):
-        self.known, self.keep, self.book = known, keep, book
-        self.lines: list[str] = []
-        self.issues: list[tuple[str, str]] = []
-        self.title: str | None = None
-        self.chapter = self.open = False
-        self.pending: int | None = None
-        self.preface = 0
-        self._new_chapter()
-        self.readers = (self._inline_title, self._title_chapter, self._title_alone, self._credit, self._embedded_chapter, self._preface, self._chapter_heading, self._marker_alone, self._marked, self._after_marker, self._numbered, self._listed, self._label, self._more_text, self._opening)
-
-    def read(self, text: str, listed: bool = False) -> None:
-        if text.strip() and not any(r(text, listed) for r in self.readers):
-            self.issues.append(("PARAGRAPH_UNMAPPED", text))
-
-    # what lines mean for those that follow
-
-    def _new_chapter(self, keep_pending: bool = False) -> None:
-        self.open = False
-        self.at = self.explicit_at = -1  # lines of the last verse, and of the last one with a number of its own
-        self.verse, self.guessed = 0, False
-
-    def _titled(self, title: str) -> None:
-        self.title, self.chapter = title, False
-        self._new_chapter()
-        self.lines.append(f"\\mt {title}")
-
-    def _chaptered(self, n: int, heading: str) -> None:
-        self.chapter, self.pending = True, None
-        self._new_chapter()
-        self.lines += [f"\\c {n}", f"\\cl {shown(heading)}"]
-
-    def _paragraph(self) -> None:
-        if not self.open:
-            self.lines.append("\\p")
-            self.open = True
-
-    def _verses(self, verses, cleaned: bool = True) -> None:
-        self._paragraph()
-        for n, t in verses:
-            self.lines.append(f"\\v {n} {body_lead(t) if cleaned else t}")
-            self.at = self.explicit_at = len(self.lines) - 1
-            self.verse, self.guessed = n, False
-
-    def _guess(self, text: str, code: str, boundary: bool) -> None:
-        self._paragraph()
-        self.verse += 1
-        self.lines.append(f"\\v {self.verse} {text}")
-        self.at = len(self.lines) - 1
-        self.guessed = boundary or self.guessed
-        self.issues.append((code, str(self.verse)))
-
-    def _take_back(self, n: int) -> None:
-        """A verse that was guessed has its number after all: its text belongs to the verse before it."""
-        if self.guessed and 0 <= self.explicit_at < self.at and n == self.verse:
-            m = re.match(rf"^\\v\s*{_D}{{1,3}}\s*[\\.)۔:]?\s+(.*)$", self.lines[self.at], re.I)
-            if m:
-                self.lines[self.explicit_at] = f"{self.lines[self.explicit_at]} {m[1].strip()}".rstrip()
-                del self.lines[self.at]
-                self.at, self.verse, self.guessed = self.explicit_at, n - 1, False
-
-    # what a paragraph can be
-
-    def _inline_title(self, text: str, _) -> bool:
-        m = INLINE_TITLE.match(text)
-        if not m or not H.py_title(m["title"].strip(), self.known):
-            return False
-        self.read(m["before"].strip())
-        self._titled(m["title"].strip())
-        self.read(m["after"].strip())
-        return True
-
-    def _title_chapter(self, text: str, _) -> bool:
-        m = TITLE_CHAPTER.match(text)
-        if not m or not self._is_title(m[1].strip()) or (n := H.number(m[3])) is None:
-            return False
-        self._titled(m[1].strip())
-        self._chaptered(n, f"{m[2].strip()} {m[3].strip()}")
-        return True
-
-    def _is_title(self, text: str) -> bool:
-        return H.py_title(text, self.known) or H.py_numeric_title(text)
-
-    def _title_alone(self, text: str, _) -> bool:
-        if not self._is_title(text):
-            return False
-        if self.title is None or heading_key(text) != heading_key(self.title):
-            self._titled(text)
-        return True
-
-    def _credit(self, text: str, _) -> bool:
-        return self.title is not None and not self.chapter and H.py_credit(text)
-
-    def _embedded_chapter(self, text: str, _) -> bool:
-        m = EMBEDDED_CHAPTER.match(text)
-        if not m or (n := H.number(m["n"])) is None or not (m["before"].strip() and m["after"].strip()):
-            return False
-        self.read(m["before"].strip())
-        self._chaptered(n, m["head"].strip())
-        self.read(m["after"].strip())
-        return True
-
-    def _preface(self, text: str, _) -> bool:
-        if self.title is None and self.book and H._CHAPTER.match(text):
-            self.title = self.book
-            self.lines.append(f"\\mt {self.book}")
-            self.issues.append(("BOOK_HEADING_INFERRED_FROM_SELECTION", self.book))
-        self.preface += self.title is None
-        return self.title is None
-
-    def _chapter_heading(self, text: str, _) -> bool:
-        if (n := H.py_chapter(text)) is None:
-            return False
-        self._chaptered(n, text)
-        return True
-
-    def _marker_alone(self, text: str, _) -> bool:
-        m = next((m for p in (*MARKER_ALONE, NUMBER_ALONE) if (m := p.match(text))), None)
-        n = H.number(m[1]) if m else None
-        self.pending = n if n is not None else self.pending
-        return n is not None
-
-    def _marked(self, text: str, _) -> bool:
-        m = next((m for p in MARKER_INLINE if (m := p.match(text))), None)
-        if not m or (n := H.number(m[1])) is None or not m[2].strip():
-            return False
-        self._explicit(n, m[2].strip())
-        return True
-
-    def _after_marker(self, text: str, _) -> bool:
-        if self.pending is None:
-            return False
-        self._explicit(self.pending, pending_text(text, self.pending))
-        return True
-
-    def _explicit(self, n: int, text: str) -> None:
-        self._take_back(n)
-        verses, self.pending = explicit_verses(n, text)
-        self._verses(verses)
-
-    def _numbered(self, text: str, _) -> bool:
-        m = LEADING.match(text) if self.keep else None
-        m = m if m and H.number(m[1]) else VERSE.match(text) or (VERSE_LOOSE.match(text) if self.keep else None)
-        if not m:
-            return False
-        if (n := H.number(m[1])) is not None:
-            verses = merged_verses(n, m[2].strip() if self.keep else verse_lead(m[2]).strip())
-            self._verses(verses)
-            if len(verses) > 1:
-                self.issues.append(("VERSE_SPLIT_RECOVERED", str(len(verses) - 1)))
-        return True
-
-    def _listed(self, text: str, listed: bool) -> bool:
-        if self.keep or not (self.chapter and listed and self.verse > 0):
-            return False
-        self._guess(text, "VERSE_INFERRED_FROM_LIST_NUMBERING", False)
-        return True
-
-    def _label(self, text: str, _) -> bool:
-        if not self.chapter:
-            self.lines.append(f"\\cl {text}")
-        return not self.chapter
-
-    def _more_text(self, text: str, _) -> bool:
-        if self.at < 0:
-            return False
-        if self.keep and self._begins_verse(text):
-            self._guess(text, "VERSE_INFERRED_FROM_PARAGRAPH_BOUNDARY", True)
-        else:
-            self.lines[self.at] += f" {text}"
-        return True
-
-    def _begins_verse(self, text: str) -> bool:
-        t, before = text.lstrip(), self.lines[self.at].rstrip()
-        starts = len(t) >= 8 and not VERSE_LOOSE.match(t) and (t[0].isalpha() or t[0] in OPENERS)
-        return self.verse > 0 and starts and before[-1:] in tuple(PHRASE_END)
-
-    def _opening(self, text: str, _) -> bool:
-        if self.open:
-            return False
-        if self.keep:
-            self._paragraph()
-            self.lines.append(f"\\d {text}")
-            self.at = self.explicit_at = -1
-            self.verse, self.guessed = 0, False
-        else:
-            self._verses([(1, text)], cleaned=False)
-            self.issues.append(("VERSE_INFERRED", text))
-        return True
-
-
-def shown(heading: str) -> str:
-    """A chapter heading's line; digits are Persian where the script is Arabic."""
-    t = heading.strip()
-    return t.translate(H._TO_PERSIAN) if re.search(f"[{P.ARABIC_NARROW}]", t) else re.sub(r"\s+", " ", t)
-
-
-def heading_key(text: str) -> str:
-    return re.sub(f"[{P.DIACRITICS}{P.BIDI}]", "", re.sub(r"\s+", " ", text)).strip().lower()
-
-
 def from_styles(paragraphs: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, issues) of paragraphs by their styles: titles, chapter labels, and paragraphs whose runs in the verse style
-    are numbers. Notes stand in line; text before the first number of a paragraph is an issue, not a verse."""
-
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        note = dict(pdf["notes"].iloc[0] or {})
-        unknown: dict[str, int] = {}
-        for p in pdf.sort_values(["para_no"], kind="stable").groupby("para_no", sort=True):
-            part = p[1].sort_values("sub_no")
-            style, no = part["style"].iloc[0], p[0]
-            add = lambda kind, text, no=no: rows.append((pdf["doc_id"].iloc[0], no, kind, text))
-            runs = [r for i, rs in enumerate(part["runs"]) for r in ([{"kind": "text", "text": " ", "style": None}] * (i > 0) + list(rs))]
-            plain = "".join(r["text"] for r in runs if r["kind"] == "text").strip()
-            if style in (STYLE_TITLE, STYLE_LABEL):
-                if plain:
-                    add("line", f"\\{'mt' if style == STYLE_TITLE else 'cl'} {plain}")
-            elif style == STYLE_PARAGRAPH:
-                add("line", "\\p")
-                number, text = None, ""
-                for r in runs:
-                    if r["style"] == STYLE_VERSE and r["kind"] == "text":
-                        if number is not None:
-                            add("line", f"\\v {number} {text.strip()}")
-                        number, text = r["text"].strip(), ""
-                        if not number:
-                            add("VERSE_NUMBER_EMPTY", "")
-                    elif r["kind"] == "footnote":
-                        if number is None:
-                            add("FOOTNOTE_WITHOUT_VERSE", r["text"])
-                        elif (note.get(r["text"]) or "").strip():
-                            text += f" \\f + \\ft {note[r['text']].strip()} \\f*"
-                        else:
-                            add("FOOTNOTE_MISSING_TEXT", r["text"])
-                    elif number is None:
-                        if r["text"].strip():
-                            add("VERSE_TEXT_WITHOUT_NUMBER", r["text"].strip())
-                    else:
-                        text += r["text"]
-                if number is not None:
-                    add("line", f"\\v {number} {text.strip()}")
-            elif style:
-                unknown[style] = unknown.get(style, 0) + 1
-        rows += [(pdf["doc_id"].iloc[0], 1 << 30, "STYLE_UNKNOWN_PARAGRAPH", f"{s} {n}") for s, n in sorted(unknown.items())]
-        return pd.DataFrame(rows, columns=["doc_id", "no", "kind", "text"]).assign(seq=range(len(rows)))
-
-    known = notes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("notes"))
-    d = paragraphs.select("doc_id", "para_no", "sub_no", "style", "runs").join(known, "doc_id", "left")
-    out = d.groupBy("doc_id").applyInPandas(read, "doc_id string, no int, kind string, text string, seq long")
-    return _parts(out)
-
-
-def _parts(out: DataFrame) -> tuple[DataFrame, DataFrame]:
-    lines = out.where("kind = 'line'").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast("long").alias("line_no"), F.col("text").alias("line"))
-    return lines, out.where("kind <> 'line'").select("doc_id", F.col("kind").alias("code"), F.col("text").alias("found"))
-
-
-def from_shape(paragraphs: DataFrame, aliases: list[str], keep: bool = False, book_title: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lines, issues) of paragraphs(doc_id, para_no, text, is_numbered) by their shape; text is what paragraph_text makes
-    of it, notes in line. aliases are the names by which a profile knows books: bounded, as a profile is."""
-    keys = sorted({k for a in aliases if (k := _key(a))})
-
-    def known(text: str) -> bool:
-        t = _key(text)
-        return any(k in t for k in keys)
-
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = Converter(known, keep, book_title)
-        for t, n in pdf.sort_values("para_no")[["text", "is_numbered"]].itertuples(index=False):
-            c.read((t or "").strip(), bool(n))
-        if c.preface:
-            c.issues.append(("PREFACE_IGNORED", str(c.preface)))
-        rows = [("line", x) for x in c.lines] + c.issues
-        return pd.DataFrame(rows, columns=["kind", "text"]).assign(doc_id=pdf["doc_id"].iloc[0], no=0, seq=range(len(rows)))[["doc_id", "no", "kind", "text", "seq"]]
-
-    d = paragraphs.select("doc_id", "para_no", T.paragraph_text(F.col("text")).alias("text"), "is_numbered")
-    return _parts(d.groupBy("doc_id").applyInPandas(read, "doc_id string, no int, kind string, text string, seq long"))
-
-
-def _key(text: str) -> str:
-    return "".join(c for c in text.translate(H._TO_ASCII).lower() if c.isalnum())
+    """(lines, issues) of paragraphs(doc_id, para_no, sub_no, style, runs) by their styles: titles, chapter labels, and paragraphs
+    whose runs in the verse style are numbers. notes(doc_id, id, text) stand in line; text before the first number of a
+    paragraph is an issue, not a verse. Parts of a paragraph are set a blank apart; its style is that of the first."""
+    run = paragraphs.schema["runs"].dataType.elementType
+    blank = F.array(F.struct(*[(F.lit({"text": " ", "kind": "text"}.get(f.name)).cast(f.dataType)).alias(f.name) for f in run.fields]))
+    d = paragraphs.groupBy("doc_id", "para_no").agg(F.array_sort(F.collect_list(F.struct("sub_no", "style", "runs"))).alias("x"))
+    d = d.select("doc_id", "para_no", F.col("x")[0]["style"].alias("style"), F.flatten(F.transform("x", lambda x, i: F.when(i > 0, F.concat(blank, x["runs"])).otherwise(x["runs"]))).alias("runs"))
+    plain = strip(F.array_join(F.transform(F.filter("runs", lambda r: r["kind"] == "text"), lambda r: r["text"]), ""))
+    marker = F.when(F.col("style") == STYLE_TITLE, "\\mt ").when(F.col("style") == STYLE_LABEL, "\\cl ").when(F.col("style") == STYLE_PARAGRAPH, "\\p")
+    heads = d.select("doc_id", "para_no", F.lit(-1).cast("long").alias("sub"), "style", marker.alias("m"), plain.alias("t")).where("m is not null")
+    heads = heads.where((F.col("style") == STYLE_PARAGRAPH) | (F.col("t") != "")).select("doc_id", "para_no", "sub", F.when(F.col("style") == STYLE_PARAGRAPH, F.col("m")).otherwise(F.concat("m", "t")).alias("line"))
+
+    r = d.where(F.col("style") == STYLE_PARAGRAPH).select("doc_id", "para_no", F.posexplode("runs").alias("pos", "r")).select("doc_id", "para_no", "pos", F.col("r.text").alias("text"), F.col("r.kind").alias("kind"), F.col("r.style").alias("style"))
+    known = notes.groupBy("doc_id", "id").agg(F.max_by("text", F.length("text")).alias("note"))
+    r = r.join(known, (r["doc_id"] == known["doc_id"]) & (r["kind"] == "footnote") & (r["text"] == known["id"]), "left").drop(known["doc_id"])
+    begins = (F.col("style") == STYLE_VERSE) & (F.col("kind") == "text")
+    w = Window.partitionBy("doc_id", "para_no").orderBy("pos")  # the runs of one paragraph
+    r = r.withColumn("begins", F.coalesce(begins, F.lit(False))).withColumn("verse", F.count(F.when(F.col("begins"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    note = strip(F.coalesce("note", F.lit("")))
+    said = F.when(F.col("kind") == "footnote", F.when(note != "", F.concat(F.lit(" \\f + \\ft "), note, F.lit(" \\f*"))).otherwise("")).when(F.col("begins"), "").otherwise(F.col("text"))
+    v = r.where("verse > 0").groupBy("doc_id", "para_no", "verse").agg(F.max(F.when(F.col("begins"), strip(F.col("text")))).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))), lambda x: x["t"]), "").alias("t"))
+    lines = heads.unionByName(v.select("doc_id", "para_no", F.col("verse").alias("sub"), F.concat(F.lit("\\v "), "n", F.lit(" "), strip(F.col("t"))).alias("line")))
+    lines = numbered(lines, [F.col("para_no").asc(), F.col("sub").asc()], ["doc_id"], "line_no").select("doc_id", "line_no", "line")
+
+    code = (
+        F.when(F.col("begins"), F.when(strip(F.col("text")) == "", F.struct(F.lit("VERSE_NUMBER_EMPTY").alias("code"), F.lit("").alias("found"))))
+        .when(F.col("kind") == "footnote", F.when(F.col("verse") == 0, F.struct(F.lit("FOOTNOTE_WITHOUT_VERSE").alias("code"), F.col("text").alias("found"))).when(note == "", F.struct(F.lit("FOOTNOTE_MISSING_TEXT").alias("code"), F.col("text").alias("found"))))
+        .when((F.col("verse") == 0) & (strip(F.col("text")) != ""), F.struct(F.lit("VERSE_TEXT_WITHOUT_NUMBER").alias("code"), strip(F.col("text")).alias("found")))
+    )
+    issues = r.select("doc_id", code.alias("x")).where("x is not null").select("doc_id", "x.*")
+    other = d.where((F.col("style") != "") & ~F.col("style").isin(STYLE_TITLE, STYLE_LABEL, STYLE_PARAGRAPH)).groupBy("doc_id", "style").agg(F.count("*").alias("n"))
+    return lines, issues.unionByName(other.select("doc_id", F.lit("STYLE_UNKNOWN_PARAGRAPH").alias("code"), F.concat_ws(" ", "style", F.col("n").cast("string")).alias("found")))
 
 
 def heading_freed(lines: DataFrame) -> DataFrame:
@@ -480,6 +146,12 @@ def missing_styles(styles: DataFrame, docs: DataFrame) -> DataFrame:
     return lost.select("doc_id", F.concat(F.lit("STYLE_MISSING_"), "style_id").alias("code"))
 
 
+def _number(raw: str) -> int | None:
+    """A positive number in one of the digit scripts."""
+    t = raw.strip()
+    return int(t) or None if re.fullmatch(f"{_D}{{1,9}}", t) else None
+
+
 def superscript_marks(runs: Column) -> Column:
     """array of (at, number): superscript runs that hold a number which the text behind them repeats, in ascending order;
     in Arabic digits the text may repeat only its last digits before a stop. at is the run's place from 0."""
@@ -490,12 +162,12 @@ def superscript_marks(runs: Column) -> Column:
         for rs in s:
             rs, found, last = list(rs) if rs is not None else [], [], 0
             for i, r in enumerate(rs):
-                n = H.number(r["text"] or "") if r["superscript"] and r["kind"] == "text" else None
+                n = _number(r["text"] or "") if r["superscript"] and r["kind"] == "text" else None
                 if n is None or n <= last or n > P.MOST_VERSES:
                     continue
                 rest = "".join(x["text"] or "" for x in rs[i + 1 :] if x["kind"] == "text" and not x["superscript"]).lstrip()
                 m = re.match(rf"({_D}{{1,3}})\s*([.)۔:]?)", rest)
-                seen = H.number(m[1]) if m else None
+                seen = _number(m[1]) if m else None
                 tail = seen is not None and m[2] and not m[1].isascii() and str(n).endswith(str(seen))
                 if seen == n or tail:
                     found.append({"at": i, "number": n})

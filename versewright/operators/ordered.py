@@ -9,7 +9,8 @@ many rows as there are partitions. Each operator costs one shuffle and one table
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,59 +81,62 @@ def carried(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[Colu
 
     The value is null before the first one, and for rows with a null key. The order should be total, as in numbered().
     """
-    columns = df.columns
-    d = ranged(df.withColumn("__value", F.col(value)), [*[F.col(k).asc() for k in keys], *order], parts)
-    schema = T.StructType([*d.schema.fields, T.StructField("__open", T.BooleanType()), T.StructField("__to", d.schema["__value"].dataType)])
+    return all_carried(df, [(value, name, inclusive)], keys, order, parts)
+
+
+def all_carried(df: DataFrame, values: Sequence[tuple[str, str, bool]], keys: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """carried() for several columns at once; values: (column, name, inclusive) of each."""
+    columns, many = df.columns, range(len(values))
+    d = ranged(df.withColumns({f"__v{j}": F.col(v) for j, (v, _, _) in enumerate(values)}), [*[F.col(k).asc() for k in keys], *order], parts)
+    schema = T.StructType([*d.schema.fields, *[T.StructField(f"__open{j}", T.BooleanType()) for j in many], *[T.StructField(f"__to{j}", d.schema[f"__v{j}"].dataType) for j in many]])
+    inclusive = [x for _, _, x in values]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, opened = None, None, True  # opened: still in the key that the partition begins with, without a value so far
+        last, held, opened = None, [None] * len(inclusive), [True] * len(inclusive)  # opened: still in the key that the partition begins with, without a value so far
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            new, now = _starts(batch, keys, last)
-            v, at = batch.column("__value"), np.arange(n)
-            has = np.asarray(pc.is_valid(v))
+            new, last = _starts(batch, keys, last)
+            at, unknown, taken = np.arange(n), [], []
             begun = np.maximum.accumulate(np.where(new, at, -1))
-            source = np.maximum.accumulate(np.where(has, at, -1))
-            if not inclusive:
-                source = np.r_[-1, source[:-1]]
-            own = (source >= 0) & (source >= begun)
-            before = (begun < 0) & ~own  # what the batches before, or the partitions before, carry over
-            values = pa.concat_arrays([v, held if held is not None else pa.nulls(1, v.type)])
-            index = np.where(own, source, n)
-            taken = values.take(pa.array(np.where(own | before, index, n), mask=~(own | before)))
-            unknown = before & opened
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unknown), taken], [*batch.schema.names, "__open", "__to"])
-            after = np.maximum.accumulate(np.where(has, at, -1))[-1]
-            if after >= 0 and after >= begun[-1]:
-                held, opened = v.slice(int(after), 1), False
-            elif begun[-1] >= 0:
-                held, opened = None, False
-            last = now
+            for j, own_too in enumerate(inclusive):
+                v = batch.column(f"__v{j}")
+                source = up_to = np.maximum.accumulate(np.where(np.asarray(pc.is_valid(v)), at, -1))
+                if not own_too:
+                    source = np.r_[-1, source[:-1]]
+                own = (source >= 0) & (source >= begun)
+                before = (begun < 0) & ~own  # what the batches before, or the partitions before, carry over
+                pool = pa.concat_arrays([v, held[j] if held[j] is not None else pa.nulls(1, v.type)])
+                taken.append(pool.take(pa.array(np.where(own, source, n), mask=~(own | before))))
+                unknown.append(pa.array(before & opened[j]))
+                if up_to[-1] >= 0 and up_to[-1] >= begun[-1]:
+                    held[j], opened[j] = v.slice(int(up_to[-1]), 1), False
+                elif begun[-1] >= 0:
+                    held[j], opened[j] = None, False
+            yield pa.RecordBatch.from_arrays([*batch.columns, *unknown, *taken], schema.names)
 
     t = stored(d.mapInArrow(fill, schema), "carried")
-    edge = F.struct("__at", *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("__value").alias("v"))
-    ends = t.groupBy("__part").agg(F.max(F.struct("__at", *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])).alias("last"), F.max(F.when(F.col("__value").isNotNull(), edge)).alias("full"))
-    rows, key, found = [], None, None
+    key = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    ends = t.groupBy("__part").agg(F.max(F.struct("__at", *key)).alias("last"), *[F.max_by(F.struct(*key, F.col(f"__v{j}").alias("v")), F.when(F.col(f"__v{j}").isNotNull(), F.col("__at"))).alias(f"full{j}") for j in many])
+    rows, end, found = [], None, [None] * len(values)
     for r in sorted(ends.collect(), key=lambda r: r["__part"]):  # one row a partition
-        rows.append((r["__part"], *(key or (None,) * len(keys)), found))
+        rows.append((r["__part"], *(end or (None,) * len(keys)), *found))
         now = tuple(r["last"])[1:]
-        if r["full"] is not None and tuple(r["full"])[1:-1] == now:
-            found = r["full"]["v"]
-        elif now != key:
-            found = None
-        key = now
-    fields = [T.StructField("__p", T.IntegerType()), *[T.StructField(f"__k{i}", d.schema[k].dataType) for i, k in enumerate(keys)], T.StructField("__found", d.schema["__value"].dataType)]
+        for j in many:
+            full = r[f"full{j}"]
+            if full is not None and tuple(full)[:-1] == now:
+                found[j] = full["v"]
+            elif now != end:
+                found[j] = None
+        end = now
+    fields = [T.StructField("__p", T.IntegerType()), *[T.StructField(f"__k{i}", d.schema[k].dataType) for i, k in enumerate(keys)], *[T.StructField(f"__found{j}", d.schema[f"__v{j}"].dataType) for j in many]]
     c = _few(df, rows, T.StructType(fields))
-    same = F.lit(True)
+    same, keyed = F.lit(True), F.lit(True)
     for i, k in enumerate(keys):
-        same = same & (F.col(k) == F.col(f"__k{i}"))
-    keyed = F.lit(True)
-    for k in keys:
-        keyed = keyed & F.col(k).isNotNull()
-    settled = F.when(F.col("__open"), F.when(same, F.col("__found"))).otherwise(F.col("__to"))
-    return t.join(c, t["__part"] == c["__p"]).select(*columns, F.when(keyed, settled).alias(name))
+        same, keyed = same & (F.col(k) == F.col(f"__k{i}")), keyed & F.col(k).isNotNull()
+    settled = [F.when(keyed, F.when(F.col(f"__open{j}"), F.when(same, F.col(f"__found{j}"))).otherwise(F.col(f"__to{j}"))).alias(name) for j, (_, name, _) in enumerate(values)]
+    return t.join(c, t["__part"] == c["__p"]).select(*columns, *settled)
 
 
 def floored(df: DataFrame, value: str, dim: DataFrame, start: str, keys: Sequence[str] = (), name: str = "floor", parts: int | None = None) -> DataFrame:
@@ -150,40 +154,41 @@ def floored(df: DataFrame, value: str, dim: DataFrame, start: str, keys: Sequenc
     return out.where("__kind = 1").select(*df.columns, F.when(F.col("__order").isNotNull(), F.col(name)).alias(name))
 
 
-def states(df: DataFrame, keys: Sequence[str], order: Sequence[Column], symbol: str, table: Sequence[Sequence[int]], start: int = 0, name: str = "state", parts: int | None = None) -> DataFrame:
-    """df with the state of a finite automaton before each row of its key: table[symbol][state] is the state after a row.
+def scanned(df: DataFrame, keys: Sequence[str], order: Sequence[Column], symbol: str, step: Callable[[int, int], tuple[int, int]], many: int, start: int = 0, name: str = "output", parts: int | None = None) -> DataFrame:
+    """df with the output of a finite automaton at each row of its key: step(state, symbol) is (state after it, output); states
+    are 0 to many - 1.
 
     A prefix scan of transition functions: while a partition doesn't know in which state its first key goes on, it keeps
-    the map from each state at its border to the state before each row; maps of partitions compose on the driver.
-    A null symbol changes nothing. The order should be total, as in numbered(); a null key equals another.
+    the map from each state at its border to the state now, and to each row's output; maps of partitions compose on the
+    driver. A null symbol changes nothing and gives null. The order should be total, as in numbered(); a null key equals
+    another.
     """
-    columns, many = df.columns, len(table[0])
-    moves = [list(row) for row in table]
+    columns = df.columns
     d = ranged(df, [*[F.col(k).asc() for k in keys], *order], parts)
     kind = T.ArrayType(T.IntegerType())
-    schema = T.StructType([*d.schema.fields, T.StructField("__by", kind), T.StructField("__then", kind)])
+    schema = T.StructType([*d.schema.fields, T.StructField("__out", kind), T.StructField("__then", kind)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
+        known = cache(step)
+        begun, last = False, None
         now: list[int] = list(range(many))  # by the state at the border, or one state
         for batch in batches:
-            by, then = [], []
+            outs, then = [], []
             for key, s in zip(zip(*(batch.column(k).to_pylist() for k in keys)) if keys else ((),) * batch.num_rows, batch.column(symbol).to_pylist()):
-                if key != last:
-                    if first is None:
-                        first = key
-                    else:
-                        now = [start]
-                    last = key
-                by.append(now)
-                if s is not None:
-                    move = moves[s]
-                    now = [move[x] for x in now]
+                if begun and key != last:
+                    now = [start]
+                begun, last = True, key
+                if s is None:
+                    outs.append([None] * len(now))
+                else:
+                    both = [known(x, s) for x in now]
+                    now = [x for x, _ in both]
+                    outs.append([y for _, y in both])
                 then.append(now)
-            if by:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(by, pa.list_(pa.int32())), pa.array(then, pa.list_(pa.int32()))], [*batch.schema.names, "__by", "__then"])
+            if outs:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(outs, pa.list_(pa.int32())), pa.array(then, pa.list_(pa.int32()))], schema.names)
 
-    t = stored(d.mapInArrow(scan, schema), "states")
+    t = stored(d.mapInArrow(scan, schema), "scanned")
     key = F.struct(F.col("__at"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     ends = t.groupBy("__part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max(F.struct("__at", "__then"))["__then"].alias("then"))
     rows, end, state = [], None, start
@@ -193,5 +198,5 @@ def states(df: DataFrame, keys: Sequence[str], order: Sequence[Column], symbol:
         state = r["then"][entry] if tuple(r["first"])[1:] == tuple(r["last"])[1:] else r["then"][0]
         end = tuple(r["last"])[1:]
     c = _few(df, rows, T.StructType([T.StructField("__p", T.IntegerType()), T.StructField("__entry", T.IntegerType())]))
-    known = F.get("__by", F.when(F.size("__by") == many, F.col("__entry")).otherwise(F.lit(0)))
-    return t.join(c, t["__part"] == c["__p"]).select(*columns, known.alias(name))
+    own = F.get("__out", F.when(F.size("__out") == many, F.col("__entry")).otherwise(F.lit(0)))
+    return t.join(c, t["__part"] == c["__p"]).select(*columns, own.alias(name))

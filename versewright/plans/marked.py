@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from versewright.functions import headings as H
 from versewright.functions import quotes as Q
 from versewright.functions import text as T
-from versewright.operators import audit, books, documents, docx, lookups, ordered, packaging, projects, scan, sequences, usfm
+from versewright.operators import audit, books, conversion, documents, docx, lookups, ordered, packaging, projects, scan, sequences, usfm
 
 from .catalog import query, table
 
@@ -402,32 +402,43 @@ def heading_shapes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", H.alias_only(text).alias("alias_only"), H.verse_like(text).alias("verse_like"))
 
 
+_X = "'x ' || trim(regexp_replace(raw, '[^A-Za-z]+', ' ', 'g'))"
+_PARAS = f"q as (select doc_id::varchar as doc_id, unnest(range(len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as raw from documents), x as (select doc_id, i, (i - 1) // 5 + 1 as chapter, i % 5 as k, {_X} as t from q)"
+
+
+def _words(c: str = "raw"):
+    """A line's own words, letters only, behind an x."""
+    return F.concat(F.lit("x "), F.trim(F.regexp_replace(c, "[^A-Za-z]+", " ")))
+
+
 def _paragraphs(spark, sf) -> DataFrame:
     """A document's lines as paragraphs: a title, then chapters with four numbered verses each."""
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
-    t = F.when(F.col("i") == 0, "Book of Tests (Tests)").when(F.col("i") % 5 == 1, F.concat(F.lit("Chapter "), (F.floor((F.col("i") - 1) / 5) + 1).cast("string"))).otherwise(F.concat(((F.col("i") + 3) % 5 + 1).cast("string"), F.lit(". word")))
-    return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("i").alias("para_no"), t.alias("text"), F.lit(False).alias("is_numbered"))
-
-
-_PARAS = "q as (select doc_id::varchar as doc_id, unnest(range(len(string_split(text, chr(10))))) as i from documents)"
+    t = F.when(F.col("i") == 0, "Book of Tests (Tests)").when(F.col("i") % 5 == 1, F.concat(F.lit("Chapter "), (F.floor((F.col("i") - 1) / 5) + 1).cast("string"))).otherwise(F.concat(((F.col("i") + 3) % 5 + 1).cast("string"), F.lit(". "), _words()))
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("i").alias("para_no"), t.alias("text"), F.lit(False).alias("is_numbered"), "raw")
 
 
-@query(f"with {_PARAS} select doc_id, ((i - 1) // 5 + 1)::int as chapter, ((i + 3) % 5 + 1)::int as verse, 'word' as text from q where i > 0 and i % 5 <> 1")
+@query(f"""with {_PARAS}, v as (select doc_id, chapter::int as chapter, i, case k when 2 then 1 when 4 then 2 end as verse, t from x where i > 0 and k in (2, 4, 0)),
+o as (select *, max(verse) over (partition by doc_id, chapter order by i rows unbounded preceding) as own from v)
+select doc_id, chapter, own::int as verse, string_agg(t, ' ' order by i) as text from o group by all""")
 def docx_verses(spark, sf):
-    lines, _ = docx.from_shape(_paragraphs(spark, sf), ["tests"])
-    c = F.when(F.col("line").startswith("\\c "), F.regexp_extract("line", r"(\d+)", 1).cast("int"))
-    d = lines.withColumn("chapter", F.last(c, True).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    """Lines as a verse, a marker alone, the text that waits for it, and more text."""
+    k = F.col("para_no") % 5
+    text = F.when((F.col("para_no") == 0) | (k == 1), F.col("text")).when(k == 2, F.concat(F.lit("1. "), _words())).when(k == 3, "\\v 2").otherwise(_words())
+    lines, _ = conversion.from_shape(_paragraphs(spark, sf).withColumn("text", text), ["zzqqzz"])
+    d = lines.withColumn("c", F.when(F.col("line").startswith("\\c "), F.regexp_extract("line", r"(\d+)", 1).cast("int")))
+    d = ordered.carried(d, "c", ["doc_id"], [F.col("line_no").asc()], "chapter")
     return d.where(F.col("line").startswith("\\v ")).select("doc_id", "chapter", F.regexp_extract("line", r"^\\v (\d+)", 1).cast("int").alias("verse"), F.regexp_extract("line", r"^\\v \d+ (.*)$", 1).alias("text"))
 
 
-@query(f"""with {_PARAS}, c as (select doc_id, i, (i - 1) // 5 + 1 as chapter from q where i > 0 and i % 5 = 1), v as (select doc_id, i, (i - 1) // 5 + 1 as chapter, case when i % 5 = 4 then 9 else (i + 3) % 5 + 1 end as verse from q where i > 0 and i % 5 <> 1),
+@query(f"""with {_PARAS}, c as (select doc_id, i, chapter from x where i > 0 and k = 1), v as (select doc_id, i, chapter, case when k = 4 then 9 else (i + 3) % 5 + 1 end as verse from x where i > 0 and k <> 1),
 w as (select *, lag(verse) over (partition by doc_id, chapter order by i) as p from v)
 select doc_id, 'Warning' as severity, 'CHAPTER_WITHOUT_VERSES' as code, chapter::int as chapter, null::int as verse from c where (doc_id, chapter) not in (select doc_id, chapter from v)
 union all select doc_id, 'Warning', 'VERSE_SEQUENCE_GAP', chapter::int, verse::int from w where verse > p + 1
 union all select doc_id, 'Warning', 'VERSE_OUT_OF_ORDER', chapter::int, verse::int from w where verse < p and verse <> 1""")
 def docx_issues(spark, sf):
-    p = _paragraphs(spark, sf).withColumn("text", F.when((F.col("para_no") % 5 == 4), "9. word").otherwise(F.col("text")))
-    return docx.continuity(docx.from_shape(p, ["tests"])[0])
+    p = _paragraphs(spark, sf).withColumn("text", F.when((F.col("para_no") % 5 == 4), F.concat(F.lit("9. "), _words())).otherwise(F.col("text")))
+    return docx.continuity(conversion.from_shape(p, ["zzqqzz"])[0])
 
 
 @query(f"with {_PARAS} select doc_id, 1::bigint as books, count(*) filter (where i % 5 = 1) as chapters, count(*) filter (where i > 0 and i % 5 <> 1) as verses from q group by doc_id")
