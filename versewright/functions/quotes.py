@@ -122,12 +122,6 @@ def split_lines(text: str) -> str:
     return re.sub(r"[^\r\n]+", lambda m: _line_split(m[0]), text)
 
 
-def embedded_markers(text: Column, first: Column) -> Column:
-    """Sorted distinct numbers above the first verse that stand as markers in a text, to MOST_VERSES."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?U)(?<!\S)({P.DIGITS}{{1,3}})(?=[\s.)۔:])"), F.lit(1)), lambda n: T.ascii_digits(n).try_cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda n: (n > first) & (n <= P.MOST_VERSES))))
-
-
 def decimal_suffix(a: Column, b: Column) -> Column:
     """Whether one number's digits end with the other's (8 and 38)."""
     x, y = a.cast("string"), b.cast("string")

@@ -82,8 +82,8 @@ def quote_rules(opener: str, closer: str) -> tuple[Rule, ...]:
         between("space_before_closer", "", r"\s+", closes, ""),
         between("no_space_before_opener", f"[{P.WORD}{P.STOPS}]", "", rf"{opens}\S", " "),
         between("no_space_after_closer", closes, "", f"[{P.WORD}]", " "),
-        between("mark_closer_stop", f"[{P.MARKS}]{closes}{{1,2}}", f"[{P.FULL_STOPS}]", "", ""),
-        swap("closer_stop", f"(?<=[{P.WORD}])({closes}{{1,2}})[{P.FULL_STOPS}]", "۔$1"),
+        between("mark_closer_stop", f"[{P.MARKS}]{closes}", f"[{P.FULL_STOPS}]", "", ""),
+        swap("closer_stop", f"(?<=[{P.WORD}])({closes})[{P.FULL_STOPS}]", "۔$1"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,17 @@ PHRASE_ENDS, PHRASE_TAIL = ".۔!?؟:;؛", "'\"’”»)\\]}"
 
 def source_text(chunks: DataFrame, source: DataFrame) -> DataFrame:
     """chunks(…, book, chapter, start, text) with ``source``: the source's verses from the least to the greatest number
-    in the chunk, its start if it has none; blank verses are skipped."""
+    in the chunk, its start if it has none; blank verses are skipped.
+
+    Where both sides have an archive and a project_root, a chunk has only its own project's source. Equal ranges are looked up once.
+    """
+    keys = [c for c in ("archive", "project_root", "book", "chapter") if c in chunks.columns and c in source.columns]
     n = T.verse_numbers(F.col("text"))
-    d = chunks.withColumn("__lo", F.coalesce(F.array_min(n), F.col("start"))).withColumn("__hi", F.coalesce(F.array_max(n), F.col("start"))).withColumn("__id", F.monotonically_increasing_id())
-    hit = d.select("__id", "book", "chapter", "__lo", "__hi").join(source.select("book", "chapter", "verse", F.col("text").alias("t")), ["book", "chapter"]).where("verse between __lo and __hi and trim(t) <> ''")
-    text = hit.groupBy("book", "chapter", "__lo", "__hi").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("verse", "t"))), lambda x: x["t"]), " ").alias("source"))
-    return d.join(text, ["book", "chapter", "__lo", "__hi"], "left").drop("__lo", "__hi", "__id")
+    d = chunks.withColumn("__lo", F.coalesce(F.array_min(n), F.col("start"))).withColumn("__hi", F.coalesce(F.array_max(n), F.col("start")))
+    wanted = d.select(*keys, "__lo", "__hi").distinct()
+    hit = wanted.join(source.select(*keys, "verse", F.col("text").alias("t")), keys).where("verse between __lo and __hi and trim(t) <> ''")
+    text = hit.groupBy(*keys, "__lo", "__hi").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("verse", "t"))), lambda x: x["t"]), " ").alias("source"))
+    return d.join(text, [*keys, "__lo", "__hi"], "left").drop("__lo", "__hi")
 
 
 def direct_speech(text: Column, source: Column) -> Column:
@@ -57,19 +64,23 @@ def inferred_verses(paragraphs: DataFrame, chapter: str = "chapter", most: str =
     return d.withColumn("infer", F.when(first, "first").when(nxt, "next")).drop("before", "after")
 
 
-def canon_issues(verses: DataFrame, versification: DataFrame) -> DataFrame:
-    """(book, code, chapter, verse): chapters and verses that a canon has and the text not, or the other way round."""
-    have_v, have_c = verses.select("book", "chapter", "verse").distinct(), verses.select("book", "chapter").distinct()
-    books = have_c.select("book").distinct()
-    want = versification.join(books, "book", "left_semi").select("book", "chapter", "max_verse")
+def canon_issues(verses: DataFrame, versification: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, book, code, chapter, verse): chapters and verses that a canon has and the text not, or the other way round. keys tell
+    documents apart: each is held against the canon alone."""
+    keys = list(keys)
+    have_v, have_c = verses.select(*keys, "book", "chapter", "verse").distinct(), verses.select(*keys, "book", "chapter").distinct()
+    books = have_c.select(*keys, "book").distinct()
+    canon = lookups.small(versification.select("book", "chapter", "max_verse"))
+    want = books.join(canon, "book").select(*keys, "book", "chapter", "max_verse")
     none = F.lit(None).cast("int")
-    row = lambda d, code, verse: d.select("book", F.lit(code).alias("code"), "chapter", verse.alias("verse"))
-    lost_c = row(lookups.missing(want, have_c, ["book", "chapter"]), "CANON_CHAPTER_MISSING", none)
-    more_c = row(have_c.join(want.select("book").distinct(), "book", "left_semi").join(want.select("book", "chapter"), ["book", "chapter"], "left_anti"), "CANON_CHAPTER_EXTRA", none)
-    numbers = lookups.expected_numbers(want.join(have_c, ["book", "chapter"], "left_semi"), ["book", "chapter"], "max_verse", "verse")
-    lost_v = row(lookups.missing(numbers, have_v, ["book", "chapter", "verse"]), "CANON_VERSE_MISSING", F.col("verse"))
-    more_v = row(have_v.join(want, ["book", "chapter"]).where("verse > max_verse"), "CANON_VERSE_EXTRA", F.col("verse"))
-    unknown = books.join(versification.select("book").distinct(), "book", "left_anti").select("book", F.lit("NO_VERSIFICATION").alias("code"), none.alias("chapter"), none.alias("verse"))
+    row = lambda d, code, verse: d.select(*keys, "book", F.lit(code).alias("code"), "chapter", verse.alias("verse"))
+    at = [*keys, "book", "chapter"]
+    lost_c = row(lookups.missing(want, have_c, at), "CANON_CHAPTER_MISSING", none)
+    more_c = row(have_c.join(want.select(*keys, "book").distinct(), [*keys, "book"], "left_semi").join(want.select(*at), at, "left_anti"), "CANON_CHAPTER_EXTRA", none)
+    numbers = lookups.expected_numbers(want.join(have_c, at, "left_semi"), at, "max_verse", "verse")
+    lost_v = row(lookups.missing(numbers, have_v, [*at, "verse"]), "CANON_VERSE_MISSING", F.col("verse"))
+    more_v = row(have_v.join(want, at).where("verse > max_verse"), "CANON_VERSE_EXTRA", F.col("verse"))
+    unknown = books.join(versification.select("book").distinct(), "book", "left_anti").select(*keys, "book", F.lit("NO_VERSIFICATION").alias("code"), none.alias("chapter"), none.alias("verse"))
     return lost_c.unionByName(more_c).unionByName(lost_v).unionByName(more_v).unionByName(unknown)
 
 

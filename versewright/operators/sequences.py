@@ -115,3 +115,22 @@ def ordered_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], col:
     """Texts of a key, joined in order; blank ones are skipped. A key's texts must fit one row."""
     rows = F.array_sort(F.collect_list(F.when(F.trim(col) != "", F.struct(*order, F.col(col).alias("__t")))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x["__t"]), by).alias(name))
+
+
+def digest(df: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
+    """(keys, n, digest): a digest of a key's values in their order, which partial results of any rows add up to.
+
+    It is the sum of two 64-bit hashes of each value with its position, so 128 bits besides the number of values; positions
+    run from 1 (ordered.numbered). Null values count as values of their own.
+    """
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col(position).cast("long"), F.col(value).isNull(), F.coalesce(F.col(value).cast("string"), F.lit(""))).cast("decimal(38,0)"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.struct(part(1).alias("a"), part(2).alias("b")).alias("digest"))
+
+
+def equal_sequences(a: DataFrame, b: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
+    """(keys, n_a, n_b, same): whether the values of a key are the same in the same order on both sides. A key that one side
+    lacks has none there. Rows never meet rows: one digest a key does."""
+    x = digest(a, keys, position, value).withColumnsRenamed({"n": "n_a", "digest": "d_a"})
+    y = digest(b, keys, position, value).withColumnsRenamed({"n": "n_b", "digest": "d_b"})
+    same = (F.col("n_a") == F.col("n_b")) & (F.col("d_a") == F.col("d_b"))
+    return x.join(y, list(keys), "full").select(*keys, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), F.coalesce(same, F.lit(False)).alias("same"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from versewright.functions import patterns as P
 from versewright.functions import text as T
 
+from .ordered import all_carried, numbered, scanned
+
 
 def marked(lines: DataFrame) -> DataFrame:
     """lines(doc_id, line_no, line) with ``marker`` (null without one) and ``body``."""
@@ -98,15 +100,111 @@ def capped(lines: DataFrame, most: int) -> DataFrame:
     return until(lines, F.coalesce(n > most, F.lit(False)), ["doc_id"], ["line_no"])
 
 
-def compatible(lines: DataFrame) -> DataFrame:
-    """Lines with \\ide after \\id where there is none, and \\p before the first verse of a chapter without one."""
-    d = context(lines)
-    has_ide = F.max((F.col("marker") == "ide").cast("int")).over(Window.partitionBy("doc_id"))
-    w = Window.partitionBy("doc_id", "book_seq", "chapter_seq").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max(F.col("marker").isin("p", "v").cast("int")).over(w), F.lit(0))
-    d = d.withColumn("a", (F.col("marker") == "id") & (F.coalesce(has_ide, F.lit(0)) == 0)).withColumn("b", (F.col("marker") == "v") & (seen == 0))
-    out = F.when(F.col("a"), F.array("line", F.lit(r"\ide UTF-8"))).when(F.col("b"), F.array(F.lit(r"\p"), "line")).otherwise(F.array("line"))
-    return d.select("doc_id", "line_no", F.posexplode(out).alias("sub_no", "line"))
+_INTRO = r"^(.+?\b\d+)\.\s+(.+)$"
+
+
+def intros_split(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, sub_no, line): a chapter's label with its first words behind it becomes a label and a description."""
+    rest = F.trim(F.substring("line", F.lit(5), F.char_length("line")))
+    whole = F.col("line").startswith("\\cl ") & rest.rlike(f"(?U){_INTRO}")
+    part = lambda i: F.trim(F.regexp_extract(rest, f"(?U){_INTRO}", i))
+    both = F.array(F.concat(F.lit("\\cl "), part(1)), F.concat(F.lit("\\d "), part(2)))
+    return lines.select("doc_id", "line_no", F.posexplode(F.when(whole, both).otherwise(F.array("line"))).alias("sub_no", "line"))
+
+
+_KINDS = ("c", "cl", "p", "v", "plain", "d", "other")
+
+
+def paragraph_step(state: int, symbol: int) -> tuple[int, int]:
+    """An automaton over the lines of a document: state has 1 in a chapter, 2 after a verse, 4 with a paragraph; the output has 1
+    where a paragraph is to open, 2 where plain text is to be a description."""
+    kind = _KINDS[symbol]
+    if kind == "c":
+        return 1, 0
+    if not state & 1 or kind in ("cl", "other"):
+        return state, 0
+    if kind == "p":
+        return state | 4, 0
+    opens = 0 if state & 4 else 1
+    if kind == "v":
+        return state | 6, opens
+    if state & 2:
+        return state, 0
+    return state | 4, opens + (2 if kind == "plain" else 0)
+
+
+def compatible(lines: DataFrame, legacy: bool = False) -> DataFrame:
+    """(doc_id, line_no, line) in the form that other programs take: labels and their first words parted, and each \\ide line says
+    UTF-8; or (legacy) a paragraph before the first verse or description of a chapter, plain text before the first verse as a description."""
+    d = intros_split(lines)
+    if not legacy:
+        d = d.select("doc_id", "line_no", "sub_no", F.lit(0).alias("more"), F.when(F.col("line").startswith("\\ide "), "\\ide UTF-8").otherwise(F.col("line")).alias("line"))
+    else:
+        x = F.col("line")
+        kind = F.when(x.startswith("\\c "), 0).when(x.startswith("\\cl "), 1).when(x == "\\p", 2).when(x.startswith("\\v "), 3).when(~x.startswith("\\") & (F.trim(x) != ""), 4).when(x.startswith("\\d "), 5).otherwise(6)
+        d = scanned(d.withColumn("kind", kind), ["doc_id"], [F.col("line_no").asc(), F.col("sub_no").asc()], "kind", paragraph_step, 8, 0, "does")
+        shown = F.when(F.col("does") >= 2, F.concat(F.lit("\\d "), F.trim("line"))).otherwise(F.col("line"))
+        d = d.select("doc_id", "line_no", "sub_no", F.posexplode(F.when(F.col("does").isin(1, 3), F.array(F.lit("\\p"), shown)).otherwise(F.array(shown))).alias("more", "line"))
+    return numbered(d, [F.col("line_no").asc(), F.col("sub_no").asc(), F.col("more").asc()], ["doc_id"], "no").select("doc_id", F.col("no").alias("line_no"), "line")
+
+
+def source_verses(lines: DataFrame) -> DataFrame:
+    """(doc_id, chapter, verse, text) of a source text: markers in front of later lines go, their text joins the verse; a verse that
+    is there again replaces the one before."""
+    t = F.trim("line")
+    chapter, number = F.regexp_extract(t, r"^\\c\s+(\d+)", 1), F.regexp_extract(t, r"(?i)^\\v\s*(\d+)", 1)
+    d = lines.select("doc_id", "line_no", t.alias("t"), F.when(chapter != "", F.struct("line_no", chapter.cast("int").alias("n"))).alias("c"), F.when(number != "", F.struct("line_no", number.cast("int").alias("n"))).alias("v"))
+    d = all_carried(d, [("c", "chapter", True), ("v", "verse", True)], ["doc_id"], [F.col("line_no").asc()])
+    d = d.where("c is null and verse.line_no > chapter.line_no")
+    text = F.when(F.col("v").isNotNull(), F.trim(F.regexp_replace("t", r"(?i)^\\v\s*\d+\s*", ""))).otherwise(F.trim(F.regexp_replace("t", r"^\\[a-z0-9]+\*?\s*", "")))
+    d = d.withColumn("text", text).where("v is not null or text <> ''")
+    each = d.groupBy("doc_id", F.col("chapter.n").alias("chapter"), "verse").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return each.groupBy("doc_id", "chapter", F.col("verse.n").alias("number")).agg(F.max_by("text", F.col("verse.line_no")).alias("text")).withColumnRenamed("number", "verse")
+
+
+def _upper(c: Column) -> Column:
+    """Upper case letter by letter: one that has none of its own length stays."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.when(F.char_length(F.upper(x)) == 1, F.upper(x)).otherwise(x)), "")
+
+
+#: Lines of a file that tell what it is.
+HEAD_LINES = 24
+
+
+def output_identity(lines: DataFrame) -> DataFrame:
+    """(doc_id, book, title) from the first lines of a file, null where they don't tell."""
+    d = lines.where(F.col("line_no") <= HEAD_LINES)
+    word = F.regexp_extract("line", r"^\\id +([^ ]+)", 1)
+    title = F.when(F.col("line").startswith("\\mt "), F.trim(F.substring("line", F.lit(5), F.char_length("line"))))
+    return d.groupBy("doc_id").agg(F.min_by(_upper(F.trim(word)), F.when(word != "", F.col("line_no"))).alias("book"), F.min_by(title, F.when(title.isNotNull(), F.col("line_no"))).alias("title"))
+
+
+def file_kind(path: Column) -> Column:
+    """What a file is read as, by its suffix: project or usfm; null for others, which nothing reads."""
+    suffix = F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
+    return F.when(suffix == ".tstudio", "project").when(suffix.isin(".usfm", ".txt"), "usfm")
+
+
+def job_identity(lines: DataFrame) -> DataFrame:
+    """(doc_id, book, name, title, code): what the lines before the first chapter say. The last \\id counts; \\h always sets the title,
+    \\toc1 and \\mt only while there is none; name and title stand in for each other. Without a book id the code says so."""
+    stop = F.lower(F.regexp_replace("line", r"(?U)^\s+", "")).startswith("\\c ")
+    m = F.lower(F.regexp_extract("line", r"(?U)^\s*\\([A-Za-z0-9]+)(?=\s|$)", 1))
+    said = F.trim(F.regexp_replace("line", r"(?U)^\s*\\[A-Za-z0-9]+", ""))
+    first = F.min(F.when(stop, F.col("line_no")))
+    heads = F.array_sort(F.collect_list(F.when(m.isin("id", "h", "toc1", "mt"), F.struct("line_no", m.alias("m"), said.alias("v")))))
+    d = lines.groupBy("doc_id").agg(first.alias("c"), heads.alias("x")).select("doc_id", F.filter("x", lambda x: F.col("c").isNull() | (x["line_no"] < F.col("c"))).alias("x"))
+    empty = F.struct(F.lit("").alias("id"), F.lit("").alias("name"), F.lit("").alias("title"))
+
+    def read(s: Column, x: Column) -> Column:
+        rest = F.trim(F.regexp_replace(x["v"], r"(?U)^\S+", ""))
+        book = F.struct(F.regexp_extract(x["v"], r"(?U)^(\S+)", 1).alias("id"), rest.alias("name"), s["title"].alias("title"))
+        titled = F.struct(s["id"].alias("id"), s["name"].alias("name"), x["v"].alias("title"))
+        return F.when(x["m"] == "id", book).when((x["m"] == "h") | (s["title"] == ""), titled).otherwise(s)
+
+    d = d.select("doc_id", F.aggregate("x", empty, read).alias("s"))
+    either = lambda a, b: F.coalesce(F.when(a != "", a), F.when(b != "", b))
+    return d.select("doc_id", F.when(F.col("s.id") != "", F.col("s.id")).alias("book"), either(F.col("s.name"), F.col("s.title")).alias("name"), either(F.col("s.title"), F.col("s.name")).alias("title"), F.when(F.col("s.id") == "", "ID_MISSING").alias("code"))
 
 
 def to_chunks(verse_rows: DataFrame, starts: DataFrame, keys=("doc_id", "book", "chapter")) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versewright.functions import headings as H
-from versewright.functions import quotes as Q
 from versewright.functions import text as T
 from versewright.operators import audit, books, conversion, documents, docx, lookups, ordered, packaging, projects, scan, sequences, usfm
 
@@ -101,10 +100,95 @@ def usfm_capped(spark, sf):
     return usfm.capped(_lines(spark, sf), 2)
 
 
-@query(f"""with {_sql()}, x as (select *, sum((i % 5 = 2)::int) over (partition by doc_id order by i) as c from l), y as (select *, count(*) filter (where line like '\\v %' or line like '\\p%') over (partition by doc_id, c order by i rows between unbounded preceding and 1 preceding) as seen from x)
-select doc_id::varchar as doc_id, count(*) + 1 + count(*) filter (where line like '\\v %' and seen = 0) as n_lines from y group by doc_id""")
+_LABELLED = """p as (select doc_id, i, case when i % 6 = 0 then '\\c ' || (i // 6 + 1) when i % 6 = 1 and contains(raw, 'a') then '\\cl Part ' || (i // 6 + 1) || '. x' || raw when i % 6 = 1 then '\\cl Part 1 x' when i % 6 = 2 then 'x ' || trim(raw)
+ when i % 6 = 3 and length(raw) % 2 = 0 then '\\p' when i % 6 = 4 then '\\d x' || raw else '\\v ' || i || ' ' || raw end as line from (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents) where i > 0)"""
+
+
+def _labelled(spark, sf) -> DataFrame:
+    """Lines with labels, plain text, paragraphs, descriptions and verses; what each is depends on the text."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw")).where("i > 0")
+    k, n, v = F.col("i") % 6, (F.floor(F.col("i") / 6) + 1).cast("string"), F.concat(F.lit("\\v "), F.col("i").cast("string"), F.lit(" "), "raw")
+    line = F.when(k == 0, F.concat(F.lit("\\c "), n)).when((k == 1) & F.col("raw").contains("a"), F.concat(F.lit("\\cl Part "), n, F.lit(". x"), "raw")).when(k == 1, "\\cl Part 1 x")
+    line = line.when(k == 2, F.concat(F.lit("x "), F.trim("raw"))).when((k == 3) & (F.char_length("raw") % 2 == 0), "\\p").when(k == 4, F.concat(F.lit("\\d x"), "raw")).otherwise(v)
+    return d.select("doc_id", F.col("i").cast("long").alias("line_no"), line.alias("line"))
+
+
+_SPLIT = """s as (select doc_id, i, 0 as j, case when regexp_matches(line, '^\\\\cl Part [0-9]+\\. x') then regexp_extract(line, '^(\\\\cl Part [0-9]+)\\. ', 1) else line end as line from p
+ union all select doc_id, i, 1, '\\d ' || trim(regexp_extract(line, '^\\\\cl Part [0-9]+\\. (.*)$', 1)) from p where regexp_matches(line, '^\\\\cl Part [0-9]+\\. x'))"""
+
+
+@query(f"""with {_LABELLED}, {_SPLIT},
+c as (select *, coalesce(sum((line like '\\c %')::int) over (partition by doc_id order by i, j), 0) as ch from s),
+k as (select *, case when line like '\\v %' then 'v' when line = '\\p' then 'p' when line like '\\d %' then 'd' when line[1] <> '\\' and trim(line) <> '' then 'x' end as k from c),
+f as (select *, coalesce(count(*) filter (where k = 'v') over w, 0) as seen, coalesce(count(*) filter (where k in ('p', 'v', 'd', 'x')) over w, 0) as has from k window w as (partition by doc_id, ch order by i, j rows between unbounded preceding and 1 preceding)),
+o as (select doc_id, i, j, 0 as m, '\\p' as line from f where ch > 0 and has = 0 and (k = 'v' or (k in ('d', 'x') and seen = 0))
+ union all select doc_id, i, j, 1, case when ch > 0 and k = 'x' and seen = 0 then '\\d ' || trim(line) else line end from f)
+select doc_id, row_number() over (partition by doc_id order by i, j, m) as line_no, line from o""")
 def usfm_compatible(spark, sf):
-    return usfm.compatible(_lines(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    """The legacy form: labels parted, paragraphs put in, plain text before a verse as a description."""
+    return usfm.compatible(_labelled(spark, sf), legacy=True)
+
+
+@query(f"with {_LABELLED}, {_SPLIT} select doc_id, row_number() over (partition by doc_id order by i, j) as line_no, line from s")
+def usfm_labels(spark, sf):
+    return usfm.compatible(_labelled(spark, sf))
+
+
+@query(f"with {_LABELLED}, {_SPLIT}, a as (select doc_id, count(*) as n_a, list(line order by i) as x from p group by 1), b as (select doc_id, count(*) as n_b, list(line order by i, j) as y from s group by 1) select doc_id, n_a, n_b, x = y as same from a join b using (doc_id)")
+def compatible_changed(spark, sf):
+    """Documents that the other form changes, told by digests."""
+    lines = _labelled(spark, sf)
+    return sequences.equal_sequences(lines, usfm.compatible(lines), ["doc_id"], "line_no", "line")
+
+
+@query("""with w as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents), g as (select doc_id, list(raw order by i) as x, list(raw order by i desc) as r from w group by doc_id)
+select doc_id, 'equal' as kind, len(x)::bigint as n, true as same from g union all select doc_id, 'permuted', len(x), x = r from g union all select doc_id, 'truncated', len(x) - 1, false from g union all select doc_id, 'moved', len(x) + 1, false from g""")
+def sequence_equality(spark, sf):
+    """A document's lines against the same, in reverse, without the last, and behind an empty one."""
+    d = table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), at.cast("long").alias("at"), t.alias("line")) for k, at, t in (
+        ("equal", F.col("i") + 1, F.col("raw")), ("permuted", F.col("n") - F.col("i"), F.col("raw")), ("truncated", F.when(F.col("i") + 1 < F.col("n"), F.col("i") + 1), F.col("raw")), ("moved", F.col("i") + 2, F.col("raw")))])
+    other = d.select("doc_id", "i", F.explode(kinds).alias("x")).select("doc_id", "i", "x.*").where("at is not null")
+    first = other.where("kind = 'moved' and i = 0").select("doc_id", "i", "kind", F.lit(1).cast("long").alias("at"), F.lit("").alias("line"))
+    every = d.select("doc_id", F.explode(F.array(*map(F.lit, ("equal", "permuted", "truncated", "moved")))).alias("kind"), (F.col("i") + 1).cast("long").alias("at"), F.col("raw").alias("line"))
+    return sequences.equal_sequences(every, other.unionByName(first), ["doc_id", "kind"], "at", "line").select("doc_id", "kind", F.col("n_b").alias("n"), "same")
+
+
+_SOURCE = """p as (select doc_id, i, case when i % 7 = 0 then '\\c ' || (i // 14 + 1) when i % 7 = 6 then '\\q1 x' || raw when i % 7 = 5 then raw else '\\v ' || (length(raw) % 4 + 1) || ' x' || raw end as line from (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents))"""
+
+
+@query(f"""with {_SOURCE}, t as (select doc_id, i, trim(line) as line, i % 7 = 0 as c, i % 7 between 1 and 4 as v, i // 14 + 1 as chapter from p),
+o as (select *, max(case when v or c then i end) over (partition by doc_id order by i) as own from t), k as (select o.*, s.v as in_verse, regexp_extract(s.line, '([0-9]+)', 1)::int as verse from o join t s on s.doc_id = o.doc_id and s.i = own where not o.c and s.v),
+x as (select doc_id, chapter, verse, own, string_agg(case when v then trim(regexp_replace(line, '^\\\\v [0-9]+ ', '')) else trim(regexp_replace(line, '^\\\\q1 ', '')) end, ' ' order by i) filter (where v or trim(regexp_replace(line, '^\\\\q1 ', '')) <> '') as text from k group by all)
+select doc_id, chapter::int as chapter, verse, arg_max(text, own) as text from x group by all""")
+def source_verses(spark, sf):
+    """A source's verses: later lines join them, a verse that is there again replaces the first."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    line = F.expr(_SOURCE[_SOURCE.index("case") : _SOURCE.index(" as line")].replace("\\", "\\\\").replace("//", "div"))
+    return usfm.source_verses(d.select("doc_id", F.col("i").cast("long").alias("line_no"), line.alias("line")))
+
+
+@query("""with w as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+l as (select doc_id, i, case i when 1 then '\\id ' || raw when 2 then '\\mt ' || raw when 30 then '\\mt late' else raw end as line from w),
+f as (select * from l where i < 24)
+select doc_id, max(case when i = 1 then nullif(replace(upper(regexp_extract(line, '^\\\\id +([^ ]+)', 1)), 'ẞ', 'ß'), '') end) as book, max(case when i = 2 then trim(line[5:]) end) as title from f group by doc_id""")
+def output_identity(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    line = F.when(F.col("i") == 1, F.concat(F.lit("\\id "), "raw")).when(F.col("i") == 2, F.concat(F.lit("\\mt "), "raw")).when(F.col("i") == 30, "\\mt late").otherwise(F.col("raw"))
+    return usfm.output_identity(d.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), line.alias("line")))
+
+
+@query("""with w as (select doc_id, lang, source, string_split(text, chr(10)) as x from documents), h as (select *, trim(regexp_replace(x[1], '[\\s]+', ' ', 'g')) as a, trim(x[2]) as b, length(x[1]) % 3 as k from w)
+select doc_id, case when k <> 2 then lang end as book, case when k <> 2 and a <> '' then a else nullif(title, '') end as name, nullif(case when title <> '' then title when k <> 2 then a else '' end, '') as title, case when k = 2 then 'ID_MISSING' end as code
+from (select *, case when k = 0 then source else coalesce(b, '') end as title from h)""")
+def job_identity(spark, sf):
+    """Header lines from a document's own: an id or none, a header or a title by the length of its first line."""
+    x = F.split("text", "\n")
+    k = F.char_length(x[0]) % 3
+    one = F.trim(F.regexp_replace(x[0], r"\s+", " "))
+    lines = F.array(F.when(k == 2, "\\rem none").otherwise(F.concat(F.lit("\\id "), "lang", F.lit(" "), one)), F.when(k == 0, F.concat(F.lit("\\H "), "source")).otherwise("\\h"), F.concat(F.lit("  \\toc1 "), F.trim(F.coalesce(F.get(x, 1), F.lit("")))), F.lit("\\c 1"), F.lit("\\id late"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("i", "line"))
+    return usfm.job_identity(d.select("doc_id", F.col("i").cast("long").alias("line_no"), "line"))
 
 
 # ---- packages
@@ -524,11 +608,33 @@ def psalm_lines(spark, sf):
 # ---- whole documents
 
 
-@query("select book, 'CANON_VERSE_MISSING' as code, 1 as chapter, n::int as verse from (values ('EN'), ('FR'), ('DE'), ('ES')) t(book), range(1, 201) r(n) where not exists (select 1 from documents where upper(lang) = book and doc_id % 200 + 1 = n)")
+@query("""with w as (select doc_id, upper(lang) as book, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+v as (select distinct doc_id, book, (i // 5 + 1)::int as chapter, (length(raw) % 6 + 1)::int as verse from w), c as (select distinct doc_id, book, chapter from v), b as (select distinct doc_id, book from v), d as (select book, r.c::int as chapter, 5 as most from (values ('EN'), ('DE'), ('ES')) t(book), range(1, 3) r(c))
+select doc_id, book, 'CANON_CHAPTER_MISSING' as code, chapter, null::int as verse from b join d using (book) where (doc_id, chapter) not in (select doc_id, chapter from c)
+union all select doc_id, book, 'CANON_CHAPTER_EXTRA', chapter, null from c where book <> 'FR' and chapter > 2
+union all select doc_id, book, 'CANON_VERSE_MISSING', chapter, n::int from c join d using (book, chapter), range(1, 6) r(n) where not exists (select 1 from v where v.doc_id = c.doc_id and v.chapter = c.chapter and v.verse = n)
+union all select doc_id, book, 'CANON_VERSE_EXTRA', chapter, verse from v join d using (book, chapter) where verse > most
+union all select doc_id, book, 'NO_VERSIFICATION', null, null from b where book = 'FR'""")
 def canon_coverage(spark, sf):
-    v = table(spark, sf, "documents").select(F.upper("lang").alias("book"), F.lit(1).alias("chapter"), (F.col("doc_id") % 200 + 1).cast("int").alias("verse"))
-    dim = spark.createDataFrame([(b, 1, 200) for b in ("EN", "FR", "DE", "ES")], "book string, chapter int, max_verse int")
-    return documents.canon_issues(v, dim).where("code = 'CANON_VERSE_MISSING'")
+    """Each document against a canon of two chapters: its lines are verses by their lengths; one language has no canon."""
+    d = table(spark, sf, "documents").select("doc_id", F.upper("lang").alias("book"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    v = d.select("doc_id", "book", (F.floor(F.col("i") / 5) + 1).cast("int").alias("chapter"), (F.char_length("raw") % 6 + 1).cast("int").alias("verse"))
+    dim = table(spark, sf, "documents").select(F.upper("lang").alias("book")).where("lang <> 'fr'").distinct().select("book", F.explode(F.array(F.lit(1), F.lit(2))).alias("chapter"), F.lit(5).alias("max_verse"))
+    return documents.canon_issues(v, dim, ["doc_id"])
+
+
+@query("""with l as (select doc_id, lang, source, i, string_split(text, chr(10)) as x from documents, range(0, 3) r(i) where i < len(string_split(text, chr(10)))),
+s as (select distinct lang, source, (length(x[i + 1]) % 5 + 1)::int as verse, 'v' || (length(x[i + 1]) % 5 + 1) as t from l where length(x[i + 1]) % 3 <> 0),
+c as (select doc_id, lang, source, i, (length(x[i + 1]) % 4 + 1)::int as lo from l)
+select doc_id, i::int as i, (select string_agg(t, ' ' order by verse) from s where s.lang = c.lang and s.source = c.source and s.verse between c.lo and c.lo + 1) as source_text from c""")
+def source_text(spark, sf):
+    """Chunks of two verses with their project's source: the same book and chapter is in all archives."""
+    x = F.split("text", "\n")
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("archive"), F.col("source").alias("project_root"), F.posexplode(F.slice(x, 1, 3)).alias("i", "raw"))
+    s = d.where("length(raw) % 3 <> 0").select("archive", "project_root", F.lit("GEN").alias("book"), F.lit(1).alias("chapter"), (F.char_length("raw") % 5 + 1).alias("verse")).distinct().withColumn("text", F.concat(F.lit("v"), "verse"))
+    lo = F.char_length("raw") % 4 + 1
+    c = d.select("doc_id", "i", "archive", "project_root", F.lit("GEN").alias("book"), F.lit(1).alias("chapter"), lo.alias("start"), F.concat(F.lit("\\v "), lo, F.lit(" x \\v "), lo + 1).alias("text"))
+    return documents.source_text(c, s).select("doc_id", "i", F.col("source").alias("source_text"))
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then 'first' when doc_id % 3 = 1 then 'next' end as infer from documents")
@@ -575,7 +681,11 @@ def carried_over(spark, sf):
     return d.select("conv_id", "turn", "user_turn", F.col("any").isNotNull().alias("any_before"))
 
 
-@query("select doc_id, '5,8' as markers from documents")
+@query("""with w as (select doc_id, i, replace(replace(replace(raw, ' a', ' ' || (i % 9 + 2) || ' a'), '. ', '.' || (i % 7 + 3) || '. '), ' e', ' 99' || i % 3 || ') e') as t from (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents)),
+m as (select doc_id, i, unnest(regexp_extract_all(t, '(?:^|[\\s.!?;:)\\]"''»”])([0-9]{1,3})[.)]?\\s+[\\p{L}\\p{M}"''«“\\[]', 1))::int as n from w)
+select doc_id, i::int as i, array_to_string(list_sort(list(distinct n)), ',') as markers from m where n > 4 and n <= 200 group by all""")
 def embedded_markers(spark, sf):
-    text = F.concat(F.lit("4 one. 5 two; 8) three 4 four 999. five "), "lang")
-    return table(spark, sf, "documents").select("doc_id", F.array_join(Q.embedded_markers(text, F.lit(4)), ",").alias("markers"))
+    """Numbers put into lines: before a word, behind a stop, and too large ones."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    put = F.replace(F.replace(F.replace("raw", F.lit(" a"), F.concat(F.lit(" "), F.col("i") % 9 + 2, F.lit(" a"))), F.lit(". "), F.concat(F.lit("."), F.col("i") % 7 + 3, F.lit(". "))), F.lit(" e"), F.concat(F.lit(" 99"), F.col("i") % 3, F.lit(") e")))
+    return d.select("doc_id", "i", F.array_join(scan.embedded(put, F.lit(4)), ",").alias("markers")).where("markers <> ''")
