@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matcher import first_named
 from .ordered import floored
 
 #: Reference tables of so many rows at most are broadcast; larger ones take part in shuffle joins.
@@ -77,21 +78,20 @@ def out_of_range(df: DataFrame, dim: DataFrame, keys: Sequence[str], number: str
 def by_alias(df: DataFrame, heading: Column, aliases: DataFrame, key) -> DataFrame:
     """df with ``book``: of an exact alias that names one book only, else of the first alias that the heading contains.
 
-    aliases(book, alias, priority); key turns a Column into what is compared. Headings are resolved once each, however
-    often they occur. Contained aliases are found by an equi-join on all pieces of a heading that are as long as
-    some alias, so no heading meets an alias that it hasn't.
+    aliases(book, alias, priority) is a profile's or some profiles' table: it is gathered, as every worker needs all of it;
+    key turns a Column into what is compared. Aliases inside a heading are found by an automaton in one pass over it, of
+    equal priorities that of the least book; df is neither shuffled nor multiplied.
     """
-    a = aliases.select("book", "priority", key(F.col("alias")).alias("k")).where("k <> ''")
-    one = a.groupBy("k").agg(F.countDistinct("book").alias("n"), F.min("book").alias("exact")).where("n = 1").select("k", "exact")
-    heads = df.select(heading.alias("h")).distinct().withColumn("hk", key(F.col("h")))
-    heads = heads.join(small(one), heads["hk"] == one["k"], "left").drop("k")
-    sizes = [r[0] for r in a.select(F.char_length("k")).distinct().collect()]  # as many as the longest alias has characters at most
-    pieces = lambda n: F.when(F.char_length("hk") >= n, F.transform(F.sequence(F.lit(1), F.char_length("hk") - (n - 1)), lambda i: F.substring("hk", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    rest = heads.where("exact is null and hk <> ''")
-    some = rest.select("h", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes]) if sizes else F.array().cast("array<string>"))).alias("k"))
-    inside = some.join(small(a), "k").groupBy("h").agg(F.min(F.struct("priority", "book"))["book"].alias("part"))
-    book = heads.join(inside, "h", "left").select(F.col("h").alias("__h"), F.coalesce("exact", "part").alias("book"))
-    return df.join(book, heading.eqNullSafe(F.col("__h")), "left").drop("__h")
+    rows = aliases.select("book", "priority", key(F.col("alias")).alias("k")).where("k <> ''").distinct().collect()
+    named: dict[str, set[str]] = {}
+    for r in rows:
+        named.setdefault(r["k"], set()).add(r["book"])
+    order = sorted({(r["priority"], r["book"]) for r in rows})
+    rank = {x: i for i, x in enumerate(order)}
+    one = df.sparkSession.createDataFrame([(k, next(iter(b))) for k, b in named.items() if len(b) == 1], "__k string, __exact string")
+    d = df.withColumn("__key", key(heading)).join(small(one), F.col("__key") == F.col("__k"), "left")
+    inside = first_named(F.when(F.col("__exact").isNull(), F.col("__key")), [(r["k"], rank[r["priority"], r["book"]]) for r in rows], [b for _, b in order])
+    return d.withColumn("book", F.coalesce("__exact", inside)).drop("__key", "__k", "__exact")
 
 
 def overridden(df: DataFrame, choices: DataFrame, on: str, col: str) -> DataFrame:
@@ -126,14 +126,15 @@ def _anchors(text: Column) -> Column:
         out = []
         for t in s:
             h = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            whole, size, p = None, 1, np.uint64(0x9E3779B97F4A7C15)
+            whole, size, p = None, 1, np.array([0x9E3779B97F4A7C15], np.uint64)  # an array: it wraps round
             need = ANCHOR
             while need:  # pieces of 1, 2, 4, … characters make one of ANCHOR
                 if need & size:
                     whole = h if whole is None else h[: len(whole) - size if len(whole) > size else 0] * p + whole[size:]
                     need -= size
                 if need:
-                    h, p, size = h[:-size] * p + h[size:], p * p + np.uint64(2), size * 2
+                    h, size = h[:-size] * p + h[size:], size * 2
+                    p = np.multiply(p, p, dtype=np.uint64) + np.uint64(2)
             whole ^= whole >> np.uint64(31)
             whole *= np.uint64(0xD6E8FEB86659FD93)
             reach = CONTAINED - ANCHOR + 1
