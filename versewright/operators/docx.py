@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,43 +143,3 @@ def missing_styles(styles: DataFrame, docs: DataFrame) -> DataFrame:
     need = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("style_id")) for k, s in (("paragraph", STYLE_PARAGRAPH), ("character", STYLE_VERSE))])).alias("x")).select("doc_id", "x.*")
     lost = need.join(styles.select("doc_id", "kind", "style_id").distinct(), ["doc_id", "kind", "style_id"], "left_anti")
     return lost.select("doc_id", F.concat(F.lit("STYLE_MISSING_"), "style_id").alias("code"))
-
-
-def _number(raw: str) -> int | None:
-    """A positive number in one of the digit scripts."""
-    t = raw.strip()
-    return int(t) or None if re.fullmatch(f"{_D}{{1,9}}", t) else None
-
-
-def superscript_marks(runs: Column) -> Column:
-    """array of (at, number): superscript runs that hold a number which the text behind them repeats, in ascending order;
-    in Arabic digits the text may repeat only its last digits before a stop. at is the run's place from 0."""
-
-    @F.pandas_udf("array<struct<at:int,number:int>>")
-    def find(s: pd.Series) -> pd.Series:
-        out = []
-        for rs in s:
-            rs, found, last = list(rs) if rs is not None else [], [], 0
-            for i, r in enumerate(rs):
-                n = _number(r["text"] or "") if r["superscript"] and r["kind"] == "text" else None
-                if n is None or n <= last or n > P.MOST_VERSES:
-                    continue
-                rest = "".join(x["text"] or "" for x in rs[i + 1 :] if x["kind"] == "text" and not x["superscript"]).lstrip()
-                m = re.match(rf"({_D}{{1,3}})\s*([.)۔:]?)", rest)
-                seen = _number(m[1]) if m else None
-                tail = seen is not None and m[2] and not m[1].isascii() and str(n).endswith(str(seen))
-                if seen == n or tail:
-                    found.append({"at": i, "number": n})
-                    last = n
-            out.append(found)
-        return pd.Series(out, index=s.index, dtype=object)
-
-    return find(runs)
-
-
-def restructured(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, para_no, part, text): a paragraph for each chapter heading and verse start inside one; markers written
-    with a capital V are small. Order and text stay."""
-    text = F.regexp_replace("text", r"\\V(?=\s*[0-9٠-٩۰-۹])", r"\\v")
-    cut = rf"(?iU)(?<=\S)\s+(?=\\v\s*{_D})|(?<=\S)\s+(?=(?:{'|'.join(H.CHAPTER_WORDS)})\s*{_D}+\s*$)"
-    return paragraphs.select("doc_id", "para_no", F.posexplode(F.split(text, cut)).alias("part", "text")).where("trim(text) <> ''")

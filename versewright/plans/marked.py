@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from versewright.functions import headings as H
 from versewright.functions import text as T
-from versewright.operators import audit, books, conversion, documents, docx, lookups, ordered, packaging, projects, scan, sequences, usfm
+from versewright.operators import audit, books, conversion, documents, docx, lookups, ordered, packaging, projects, runs, scan, sequences, usfm
 
 from .catalog import query, table
 
@@ -528,6 +528,25 @@ def docx_issues(spark, sf):
     return docx.continuity(conversion.from_shape(p, ["zzqqzz"])[0])
 
 
+@query("""with w as (select doc_id, i, raw, length(raw) // 2 as h, i % 9 + 1 as n from (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents)),
+a as (select *, substr(raw, 1, h) as a, trim(substr(raw, h + 1)) as b from w where i % 4 <> 0), k as (select *, trim(a) <> '' as two, n <= 6 as cut from a),
+r as (select doc_id, i, 0 as part, 0 as run_no, 'h' as style, 'Chapter ' || (i // 4 + 1) as text, false as changed from w where i % 4 = 0
+ union all select doc_id, i, 0, 0, 'a', a, true from k where two union all select doc_id, i, 0, 1, null, '', true from k where two and not cut
+ union all select doc_id, i, (two and cut)::int, j + (two and not cut)::int * 2, ['n', 'b', 'c'][j + 1], case j when 0 then n::varchar when 1 then '' else case when b = '' then '' else ' ' || ltrim(substr(raw, h + 1)) end end, true from k, range(3) t(j))
+select doc_id, i::int as i, part::int as part, run_no::int as run_no, style, text, changed from r""")
+def paragraph_runs(spark, sf):
+    """Lines as runs of four styles, a superscript number that the text repeats between them: a paragraph for each verse of the chapter."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    h, n = F.floor(F.char_length("raw") / 2).cast("int"), (F.col("i") % 9 + 1).cast("string")
+    run = lambda text, style, up=False: F.struct(text.alias("text"), F.lit(style).alias("style"), F.lit(up).alias("superscript"), F.lit("text").alias("kind"))
+    verse = F.array(run(F.substring("raw", F.lit(1), h), "a"), run(n, "n", True), run(F.concat(n, F.lit(".")), "b"), run(F.concat(F.lit(" "), F.substring("raw", h + 1, F.char_length("raw"))), "c"))
+    text = F.when(F.col("i") % 4 == 0, F.array(run(F.concat(F.lit("Chapter "), (F.floor(F.col("i") / 4) + 1).cast("string")), "h"))).otherwise(verse)
+    p = d.select("doc_id", F.col("i").alias("para_no"), F.lit("BB").alias("book"), F.lit(False).alias("is_title"), text.alias("runs"))
+    v = d.select((F.floor(F.col("i") / 4) + 1).cast("int").alias("chapter")).distinct().select(F.lit("BB").alias("book"), "chapter", F.lit(6).alias("max_verse"))
+    out = runs.restructured(p, v).select("doc_id", F.col("para_no").alias("i"), "part", "changed", F.posexplode("runs").alias("run_no", "r"))
+    return out.select("doc_id", "i", "part", "run_no", "r.style", "r.text", "changed")
+
+
 @query(f"with {_PARAS} select doc_id, 1::bigint as books, count(*) filter (where i % 5 = 1) as chapters, count(*) filter (where i > 0 and i % 5 <> 1) as verses from q group by doc_id")
 def scan_totals(spark, sf):
     return scan.totals(_found(spark, sf))
