@@ -9,6 +9,7 @@ from versewright.functions import text as T
 from versewright.sinks import files
 
 from . import lookups
+from .shared import stored
 
 # A book without an id, and the resource of a book without one.
 UNKNOWN, RESOURCE_NAME, RESOURCE_ID = "UNK", "Regular", "reg"
@@ -26,7 +27,10 @@ def _read(lines: DataFrame) -> DataFrame:
 def books(lines: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, book, title, project_name, resource_id, resource_name, rtl, chapter_titles): of \\id, of the first line of
     \\h, \\toc1 and \\mt that has text, and of \\cl lines; a book without a title has its id."""
-    d = _read(lines)
+    return _books(_read(lines), names)
+
+
+def _books(d: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     t, no = F.col("t"), F.col("line_no")
     parts = F.split(t, " +")
     is_id = t.startswith("\\id ")
@@ -53,7 +57,11 @@ def books(lines: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
 def verses(lines: DataFrame) -> DataFrame:
     """(doc_id, seq, chapter, verse, text, line_no, pos): verses of lines that begin with a verse marker, in chapters; several of a line too.
     Other lines are left out, those that carry a verse on as well; so are verses without text."""
-    d = _read(lines).where(F.col("t").startswith("\\v ") & (F.col("seq") > 0))
+    return _verses(_read(lines))
+
+
+def _verses(d: DataFrame) -> DataFrame:
+    d = d.where(F.col("t").startswith("\\v ") & (F.col("seq") > 0))
     n = F.regexp_extract_all("t", F.lit(r"(?i)\\v\s*(\d+)"), F.lit(1))
     body = F.slice(F.split("t", r"(?i)\\v\s*\d+"), 2, 100_000)
     d = d.select("doc_id", "seq", "chapter", "line_no", F.posexplode(F.arrays_zip(n.alias("n"), body.alias("x"))).alias("pos", "z"))
@@ -63,7 +71,11 @@ def verses(lines: DataFrame) -> DataFrame:
 def rejected(lines: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(doc_id, code, chapter, verse): why a document is not packaged: no chapters, chapters twice or not ascending, verses
     twice or descending in a chapter, verses before a chapter's first canonical chunk. Gaps are allowed. A row each."""
-    d, v = _read(lines), verses(lines)
+    d = stored(_read(lines), "lines")
+    return _rejected(d, stored(_verses(d), "verses"), starts)
+
+
+def _rejected(d: DataFrame, v: DataFrame, starts: DataFrame | None) -> DataFrame:
     none = F.lit(None).cast("int")
     row = lambda df, code, c, n: df.select("doc_id", F.lit(code).alias("code"), c.alias("chapter"), n.alias("verse"))
     c = d.where("n is not null").select("doc_id", "line_no", "n")
@@ -76,7 +88,7 @@ def rejected(lines: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     out = out.unionByName(row(down, "VERSE_OUT_OF_ORDER", F.col("chapter"), F.col("verse")))
     if starts is not None:
         lowest = starts.groupBy("book", "chapter").agg(F.min("start").alias("lo"))
-        early = v.join(books(lines).select("doc_id", "book"), "doc_id").join(lookups.small(lowest), ["book", "chapter"]).where("verse < lo")
+        early = v.join(_books(d).select("doc_id", "book"), "doc_id").join(lookups.small(lowest), ["book", "chapter"]).where("verse < lo")
         out = out.unionByName(row(early, "VERSE_BEFORE_FIRST_CHUNK", F.col("chapter"), F.col("verse")))
     return out
 
@@ -84,7 +96,12 @@ def rejected(lines: DataFrame, starts: DataFrame | None = None) -> DataFrame:
 def chunks(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """(doc_id, book, chapter, chunk_start, content): verses by canonical chunk, in order, each with its marker; a chapter
     without canonical chunks has a chunk for each verse."""
-    v = verses(lines).join(books(lines).select("doc_id", "book"), "doc_id")
+    d = stored(_read(lines), "lines")
+    return _chunks(_verses(d), _books(d), starts)
+
+
+def _chunks(v: DataFrame, about: DataFrame, starts: DataFrame) -> DataFrame:
+    v = v.join(about.select("doc_id", "book"), "doc_id")
     d = lookups.floor(v, "verse", starts, "start", ["book", "chapter"], "home")
     mapped = starts.select("book", "chapter").distinct().withColumn("mapped", F.lit(True))
     d = d.join(lookups.small(mapped), ["book", "chapter"], "left").withColumn("chunk_start", F.when(F.col("mapped"), F.col("home")).otherwise(F.col("verse"))).where("chunk_start is not null")
@@ -95,7 +112,10 @@ def chunks(lines: DataFrame, starts: DataFrame) -> DataFrame:
 
 def package_files(lines: DataFrame, starts: DataFrame, language: str, timestamp: int, names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, issues): the files of a package for each document without an issue, and the issues of the others."""
-    bad = rejected(lines, starts)
-    good = lines.join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
-    about = books(good, names).withColumn("language", F.lit(language)).drop("book")
-    return files.project_files(chunks(good, starts), about, timestamp), bad
+    d = stored(_read(lines), "lines")
+    v = stored(_verses(d), "verses")
+    bad = stored(_rejected(d, v, starts), "issues")
+    ids = bad.select("doc_id").distinct()
+    about = stored(_books(d.join(ids, "doc_id", "left_anti"), names).withColumn("language", F.lit(language)), "books")
+    good = stored(_chunks(v.join(ids, "doc_id", "left_anti"), about, starts), "chunks")
+    return files.project_files(good, about.drop("book"), timestamp), bad

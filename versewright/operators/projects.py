@@ -10,6 +10,7 @@ from versewright.functions import patterns as P
 from versewright.functions import text as T
 
 from . import lookups, sequences
+from .shared import stored
 
 #: A title file has chapter or verse markers if one of these stands at a word's start.
 TITLE_MARKER = r"(?i)(?<!\S)\\(?:c\s+|v\s*)\d"
@@ -18,21 +19,24 @@ MANIFEST = "project struct<id:string,name:string>, resource struct<id:string,nam
 
 def rooted(entries: DataFrame) -> DataFrame:
     """entries(archive, path, content) with project_root ('' for the archive itself) and rel_path."""
-    roots = entries.where(F.col("path").rlike(r"^[^/]+/manifest\.json$")).select("archive", F.split("path", "/")[0].alias("root")).distinct()
-    d = entries.withColumn("root", F.when(F.col("path").contains("/"), F.split("path", "/")[0])).join(roots.withColumn("is_root", F.lit(True)), ["archive", "root"], "left")
-    any_root = roots.select("archive").distinct().withColumn("nested", F.lit(True))
-    d = d.join(any_root, "archive", "left")
-    root = F.when(F.col("is_root"), F.col("root")).when(F.col("nested").isNull(), F.lit(""))
-    d = d.withColumn("project_root", root).withColumn("rel_path", F.when(F.col("is_root"), F.substring("path", F.char_length("root") + 2, F.char_length("path"))).otherwise(F.col("path")))
-    return d.drop("root", "is_root", "nested")
+    roots = entries.where(F.col("path").rlike(r"^[^/]+/manifest\.json$")).groupBy("archive").agg(F.collect_set(F.split("path", "/")[0]).alias("roots"))
+    top = F.when(F.col("path").contains("/"), F.split("path", "/")[0])
+    d = entries.join(roots, "archive", "left").withColumn("is_root", F.coalesce(F.array_contains("roots", top), F.lit(False)))
+    root = F.when(F.col("is_root"), top).when(F.col("roots").isNull(), F.lit(""))
+    d = d.withColumn("project_root", root).withColumn("rel_path", F.when(F.col("is_root"), F.substring("path", F.char_length("project_root") + 2, F.char_length("path"))).otherwise(F.col("path")))
+    return d.drop("roots", "is_root")
 
 
 def manifests(entries: DataFrame) -> DataFrame:
     """A row for each project: ids in upper case, with defaults where a field or the file is missing."""
-    d = rooted(entries).where("project_root is not null")
-    m = d.where("rel_path = 'manifest.json'").select("archive", "project_root", F.from_json(F.expr("make_valid_utf8(cast(content as string))"), MANIFEST, {"allowComments": "true"}).alias("m"))
-    all_ = d.select("archive", "project_root").distinct().join(m, ["archive", "project_root"], "left")
-    return all_.select("archive", "project_root", F.upper(F.coalesce("m.project.id", F.lit("unk"))).alias("book"), F.coalesce("m.project.name", "m.project.id", F.lit("unknown")).alias("name"), F.coalesce("m.target_language.id", F.lit("unknown")).alias("language"), F.coalesce("m.format", F.lit("usfm")).alias("format"), F.coalesce("m.finished_chunks", F.array().cast("array<string>")).alias("finished"))
+    return _manifests(rooted(entries))
+
+
+def _manifests(roots: DataFrame) -> DataFrame:
+    d = roots.where("project_root is not null")
+    text = F.when(F.col("rel_path") == "manifest.json", F.expr("make_valid_utf8(cast(content as string))"))
+    each = d.groupBy("archive", "project_root").agg(F.max(text).alias("t")).withColumn("m", F.from_json("t", MANIFEST, {"allowComments": "true"}))
+    return each.select("archive", "project_root", F.upper(F.coalesce("m.project.id", F.lit("unk"))).alias("book"), F.coalesce("m.project.name", "m.project.id", F.lit("unknown")).alias("name"), F.coalesce("m.target_language.id", F.lit("unknown")).alias("language"), F.coalesce("m.format", F.lit("usfm")).alias("format"), F.coalesce("m.finished_chunks", F.array().cast("array<string>")).alias("finished"))
 
 
 def chunk_path(rel: Column) -> tuple[Column, Column]:
@@ -48,8 +52,12 @@ def loose_reference(path: Column) -> tuple[Column, Column]:
 
 def chunks(entries: DataFrame) -> DataFrame:
     """(archive, project_root, rel_path, chapter, start, text) of chunk files; Finder files are left out."""
+    return _chunks(rooted(entries))
+
+
+def _chunks(roots: DataFrame) -> DataFrame:
     ch, st = chunk_path(F.col("rel_path"))
-    d = rooted(entries).where("project_root is not null and not path rlike '(^|/)[.]DS_Store$'")
+    d = roots.where("project_root is not null and not path rlike '(^|/)[.]DS_Store$'")
     return d.select("archive", "project_root", "rel_path", ch.alias("chapter"), st.alias("start"), F.expr("make_valid_utf8(cast(content as string))").alias("text")).where("chapter is not null")
 
 
@@ -58,16 +66,17 @@ def chunk_verses(chunk_rows: DataFrame) -> DataFrame:
 
 
 def blocking(entries: DataFrame, versification: DataFrame, starts: DataFrame) -> DataFrame:
-    """(archive, project_root, code, args): what keeps a project from being cleaned."""
-    m = manifests(entries).select("archive", "project_root", "book", "finished")
-    c = chunks(entries).join(m, ["archive", "project_root"])
+    """(archive, project_root, code, args): what keeps a project from being cleaned. The entries are read once."""
+    roots = stored(rooted(entries), "entries")
+    m = stored(_manifests(roots).select("archive", "project_root", "book", "finished"), "manifests")
+    c = stored(_chunks(roots).join(m, ["archive", "project_root"]), "chunks")
     counts = versification.select("book", "chapter", "max_verse")
     issue = lambda d, code, **args: d.select("archive", "project_root", F.lit(code).alias("code"), F.create_map(*[x for k, v in args.items() for x in (F.lit(k), F.col(v).cast("string"))]).alias("args"))
-    titles = rooted(entries).where("rel_path rlike '(^|/)title[.]txt$' and project_root is not null").withColumn("text", F.expr("make_valid_utf8(cast(content as string))"))
+    titles = roots.where("rel_path rlike '(^|/)title[.]txt$' and project_root is not null").withColumn("text", F.expr("make_valid_utf8(cast(content as string))"))
     marked = issue(titles.where(F.col("text").rlike(TITLE_MARKER)), "TITLE_CONTAINS_USFM_MARKER", path="rel_path")
     known = counts.select("book").distinct().withColumn("known", F.lit(True))
     impossible = issue(c.join(counts, ["book", "chapter"], "left").join(known, "book", "left").where("known and (max_verse is null or start < 1 or start > max_verse)"), "IMPOSSIBLE_CHUNK_PATH", path="rel_path")
-    v = chunk_verses(c)
+    v = stored(chunk_verses(c).drop("text", "finished"), "verses")
     canonical = c.join(starts.select("book", "chapter", "start").distinct(), ["book", "chapter", "start"], "left_semi").select("archive", "project_root", "rel_path")
     placed = lookups.floor(v.join(canonical, ["archive", "project_root", "rel_path"], "left_semi"), "verse", starts, "start", ["book", "chapter"], "home")
     outside = issue(placed.where("home is not null and home <> start"), "VERSE_OUTSIDE_CANONICAL_CHUNK", path="rel_path", verse="verse")
@@ -86,18 +95,20 @@ def blocking(entries: DataFrame, versification: DataFrame, starts: DataFrame) ->
 
 
 def warnings(entries: DataFrame, versification: DataFrame, starts: DataFrame) -> DataFrame:
-    """(archive, project_root, code, args): layout and content warnings that never block."""
-    m = manifests(entries).select("archive", "project_root", "book")
-    c = chunks(entries).join(m, ["archive", "project_root"])
+    """(archive, project_root, code, args): layout and content warnings that never block. The entries are read once."""
+    roots = stored(rooted(entries), "entries")
+    about = stored(_manifests(roots), "manifests")
+    m = about.select("archive", "project_root", "book")
+    c = stored(_chunks(roots).join(m, ["archive", "project_root"]), "chunks")
     counts = versification.select("book", "chapter", "max_verse")
     row = lambda d, code, **args: d.select("archive", "project_root", F.lit(code).alias("code"), F.create_map(*[x for k, v in args.items() for x in (F.lit(k), F.col(v).cast("string"))]).alias("args"))
     mapped = c.join(starts.select("book").distinct(), "book", "left_semi").join(counts, ["book", "chapter"]).where("start between 1 and max_verse")
     odd = row(mapped.join(starts.select("book", "chapter", "start").distinct(), ["book", "chapter", "start"], "left_anti"), "NONCANONICAL_CHUNK_PATH", path="rel_path")
     holes = row(sequences.missing_between(c, ["archive", "project_root"], "chapter"), "MISSING_CHAPTER_DIRECTORY", chapter="missing")
-    v = chunk_verses(c)
+    v = stored(chunk_verses(c).drop("text"), "verses")
     twice = row(sequences.duplicates(v, ["archive", "project_root", "rel_path", "verse"]), "DUPLICATE_VERSE_IN_CHUNK", path="rel_path", verse="verse")
     beyond = row(v.join(counts, ["book", "chapter"]).where("verse not between 1 and max_verse").select("archive", "project_root", "rel_path", "verse").distinct(), "VERSE_MARKER_OUT_OF_RANGE", path="rel_path", verse="verse")
-    finished = m.join(manifests(entries).select("archive", "project_root", "finished"), ["archive", "project_root"]).join(starts.select("book").distinct(), "book", "left_semi")
+    finished = about.select("archive", "project_root", "book", "finished").join(starts.select("book").distinct(), "book", "left_semi")
     done = finished.select("archive", "project_root", "book", F.explode("finished").alias("chunk")).where("lower(chunk) not like '%-title'").select("*", F.regexp_extract("chunk", r"^-*(\d+)-+\d+-*$", 1).try_cast("int").alias("chapter"), F.regexp_extract("chunk", r"^-*\d+-+(\d+)-*$", 1).try_cast("int").alias("start")).where("start is not null")
     stray = row(done.join(starts.select("book", "chapter", "start").distinct(), ["book", "chapter", "start"], "left_anti"), "NONCANONICAL_FINISHED_CHUNK", chunk="chunk")
     return odd.unionByName(holes).unionByName(twice).unionByName(beyond).unionByName(stray)
