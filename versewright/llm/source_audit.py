@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import stored
 
 #: Documents of a language that a kept term is in, at least; units of a share; terms in a group's report.
 LEAST_DOCS, UNIT, TOP = 10, 1_000_000_000, 10
@@ -72,7 +72,8 @@ def counted(docs: DataFrame) -> DataFrame:
 
     d = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     got = d.mapInArrow(each, "lang string, source string, term string, n bigint, docs bigint")
-    return got.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt out by what comes next as well: a task's rows have hardly a key twice, so there is nothing to add up before
+    return got.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -149,21 +150,19 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
 
     A vector has at most one entry a source, so no more than the pairs of one source in the result.
     """
-    terms = stored(counted(docs), "terms")
-    by = ["lang", "term"]
     entry = F.struct("source", "n")
-    vectors = terms.where("term is not null").groupBy(*by).agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(entry)).alias("v")).where(F.col("docs") >= least_docs)
-    vectors = stored(vectors.select("lang", "term", "v"), "vectors")
+    every = counted(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(entry)).alias("v")).where((F.col("docs") >= least_docs) | F.col("term").isNull())
+    every = stored(every.select("lang", "term", "v"), "vectors")
+    vectors = every.where("term is not null")
     distinct = stored(vectors.groupBy("lang", "v").agg(F.count("*").alias("m")).withColumn("id", F.monotonically_increasing_id()), "distinct")
 
     kept = distinct.groupBy("lang").agg(F.sum("m").alias("kept"))
     total = distinct.select("lang", "m", F.explode("v").alias("e")).groupBy("lang", F.col("e.source").alias("source")).agg(F.sum(F.col("m") * F.col("e.n")).alias("total"))
-    groups = terms.where("term is null").select("lang", "source").join(total, ["lang", "source"], "left").join(kept, "lang", "left").na.fill(0, ["total", "kept"])
+    groups = every.where("term is null").select("lang", F.explode("v.source").alias("source")).join(total, ["lang", "source"], "left").join(kept, "lang", "left").na.fill(0, ["total", "kept"])
     groups = groups.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("bigint") - 1)
     groups = groups.withColumn("z", F.when(F.col("kept") > 0, share(F.lit(0), F.col("total"), F.col("kept"))).otherwise(1))
     groups = stored(groups, "groups")
     langs = groups.groupBy("lang").agg(F.sum("total").alias("all"), F.max("kept").alias("kept"))
-    drop_stored(terms)
 
     # shares of each entry of each distinct vector, and of its sum in the language
     flat = distinct.select("lang", "id", "m", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("sum"), F.explode("v").alias("e"))
