@@ -468,25 +468,46 @@ def alias_resolution(spark, sf):
     return lookups.by_alias(d, F.col("raw"), a, T.alias_key).select("doc_id", "i", "book")
 
 
-@query("select 'EN' as book, c::int as chapter, s::int as start from range(1, 11) r(c), (values (1), (3), (5)) t(s)")
+_LINES = "w as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents)"
+
+
+def _raw(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+
+
+@query(f"with {_LINES} select distinct doc_id as book, (i + 1)::int as chapter, unnest([(length(raw) % 7 + 1)::int, (length(raw) % 5 + 1)::int, 3]) as start from w")
 def chunk_map(spark, sf):
-    code = ";".join(f"{c}:5,1,3,3" for c in range(1, 11))
-    return lookups.decode_chunks(spark.createDataFrame([("EN", code)], "book string, encoded string"))
+    """Each document's chunk starts by the lengths of its lines, from an encoded text."""
+    n = F.char_length("raw")
+    code = F.concat((F.col("i") + 1).cast("string"), F.lit(":"), (n % 7 + 1).cast("string"), F.lit(","), (n % 5 + 1).cast("string"), F.lit(",3"))
+    d = _raw(spark, sf).groupBy(F.col("doc_id").alias("book")).agg(F.array_join(F.collect_list(code), ";").alias("encoded"))
+    return lookups.decode_chunks(d)
+
+
+_STANDALONE = "^(?:\\d+\\s+[^()]{1,120}|ПСАЛТЫРЬ|Псалтирь)\\s*\\((?:\\d+\\s*)?[A-Za-z][^)]+\\)\\s*$"
+_EQUIVALENT = "(?i)^(?:\\d+\\s+)?(?:Книга\\s+)?[\\p{L}\\p{M}\\s\\-]{2,80}\\s*=\\s*(?:\\d+\\s*)?[A-Za-z][A-Za-z\\s\\-]{1,80}$"
+_CHAPTER = "'(?i)^(?:Глава|Chapter|باب)\\s*([0-9]+)(?:[^\\p{L}\\p{N}_]|$)'"
 
 
-@query("""select doc_id, case doc_id % 3 when 0 then 'Chapter ' || (doc_id % 40 + 1) when 1 then 'Book of ' || lang else 'plain text, with a comma' end as text,
- doc_id % 3 = 0 as is_chapter, case when doc_id % 3 = 0 then (doc_id % 40 + 1)::int end as number, doc_id % 3 = 1 as is_title from documents""")
+@query(f"""with {_LINES}, t as (select doc_id, i, case i % 3 when 0 then 'Chapter ' || (length(raw) % 40) || ' ' || raw when 1 then 'Book ' || raw else raw end as t from w), c as (select *, regexp_matches(t, {_CHAPTER}) as c from t)
+select doc_id, i::int as i, c as is_chapter, case when c then nullif(regexp_extract(t, {_CHAPTER}, 1)::int, 0) end as number,
+ not contains(t, ',') and not c and (regexp_matches(t, '(?i)^(?:(?:\\d+|ПЕРВАЯ|ВТОРАЯ|ТРЕТЬЯ|ЧЕТВЕРТАЯ|I|II|III|IV)\\s+)?(?:Книга|Book)\\s+.+$') or regexp_matches(t, '{_STANDALONE}') or regexp_matches(t, '{_EQUIVALENT}')) as is_title from c""")
 def heading_kinds(spark, sf):
-    i = F.col("doc_id")
-    shown = F.when(i % 3 == 0, F.concat(F.lit("Chapter "), (i % 40 + 1).cast("string"))).when(i % 3 == 1, F.concat(F.lit("Book of "), "lang")).otherwise("plain text, with a comma")
-    d = table(spark, sf, "documents").select("doc_id", shown.alias("text"))
-    return d.select("doc_id", "text", H.is_chapter(F.col("text")).alias("is_chapter"), H.chapter_number(F.col("text")).alias("number"), H.scanned_title(F.col("text"), F.lit(False)).alias("is_title"))
+    """Lines as they are, behind a chapter's word and a number, and behind a book's word."""
+    k = F.col("i") % 3
+    t = F.when(k == 0, F.concat(F.lit("Chapter "), (F.char_length("raw") % 40).cast("string"), F.lit(" "), "raw")).when(k == 1, F.concat(F.lit("Book "), "raw")).otherwise(F.col("raw"))
+    d = _raw(spark, sf).select("doc_id", "i", t.alias("text"))
+    return d.select("doc_id", "i", H.is_chapter(F.col("text")).alias("is_chapter"), H.chapter_number(F.col("text")).alias("number"), H.scanned_title(F.col("text"), F.lit(False)).alias("is_title"))
 
 
-@query("select doc_id, doc_id % 2 = 0 as alias_only, doc_id % 2 = 1 as verse_like from documents")
+@query(f"""with {_LINES}, t as (select doc_id, i, case when i % 2 = 0 then raw else ' ' || (i % 150) || '. ' || raw end as t from w), n as (select *, len(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+')) as n from t),
+v as (select *, regexp_matches(t, '^\\s*\\d{{1,3}}[.)]?\\s+') and (n >= 7 or (contains(t, ' ') and length(t) > 40)) as v from n)
+select doc_id, i::int as i, not regexp_matches(t, {_CHAPTER}) and not regexp_matches(t, '[.!?:;,"۔\\\\]') and n between 1 and 5 and length(trim(t)) <= 40 and not v as alias_only, v as verse_like from v""")
 def heading_shapes(spark, sf):
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("The Book "), "source")).otherwise("12 and then they went out of the house again")
-    return table(spark, sf, "documents").select("doc_id", H.alias_only(text).alias("alias_only"), H.verse_like(text).alias("verse_like"))
+    """Lines as they are and behind a number: short ones may be names, long ones are verses."""
+    t = F.when(F.col("i") % 2 == 0, F.col("raw")).otherwise(F.concat(F.lit(" "), (F.col("i") % 150).cast("string"), F.lit(". "), "raw"))
+    d = _raw(spark, sf).select("doc_id", "i", t.alias("t"))
+    return d.select("doc_id", "i", H.alias_only(F.col("t")).alias("alias_only"), H.verse_like(F.col("t")).alias("verse_like"))
 
 
 _X = "'x ' || trim(regexp_replace(raw, '[^A-Za-z]+', ' ', 'g'))"
@@ -659,25 +680,45 @@ def source_text(spark, sf):
     return documents.source_text(c, s).select("doc_id", "i", F.col("source").alias("source_text"))
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then 'first' when doc_id % 3 = 1 then 'next' end as infer from documents")
+_LEADS = "nullif(regexp_extract({}, '^\\s*([0-9]{{1,3}})(?:[\\s.)۔:]|$)', 1), '')::int"
+
+
+@query(f"""with {_LINES}, p as (select doc_id, i, (i // 6 + 1)::int as chapter, (i % 6)::int as verse, case when i % 6 in (0, 3, 4) then raw else (i % 6 + length(raw) % 2) || ' ' || raw end as t from w),
+n as (select *, case when trim(t) <> '' then t end as x, {_LEADS.format('t')} as l from p),
+f as (select *, last_value(x ignore nulls) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as b, first_value(x ignore nulls) over (partition by doc_id order by i rows between 1 following and unbounded following) as a from n),
+g as (select *, length(trim(t)) >= 3 and coalesce(l, 0) not between 1 and 200 as plain, {_LEADS.format('a')} as al from f)
+select doc_id, i::int as i, case when verse = 0 and plain and al = 2 then 'first' when verse > 0 and verse < 5 and plain and regexp_matches(b, '[.۔!?؟:;؛][\\s''"’”»)\\]}}]*$') then 'next' end as infer from g""")
 def inferred_verses(spark, sf):
-    d = table(spark, sf, "documents")
-    three = F.array(*[F.struct(F.lit(i).alias("para_no"), t.alias("text")) for i, t in ((1, F.lit("It was said.")), (2, F.lit("And then they went")), (3, F.when(F.col("doc_id") % 3 == 0, "2 went on").otherwise("went on")))])
-    p = d.select("doc_id", F.explode(three).alias("p")).select("doc_id", "p.*", F.lit(1).alias("chapter"), F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0).alias("verse"), F.lit(9).alias("max_verse"))
-    return documents.inferred_verses(p).where("para_no = 2").select("doc_id", "infer")
+    """Lines with numbers, some of them wrong, and without: verses are inferred from what stands before and after."""
+    v = (F.col("i") % 6).cast("int")
+    t = F.when(v.isin(0, 3, 4), F.col("raw")).otherwise(F.concat((v + F.char_length("raw") % 2).cast("string"), F.lit(" "), "raw"))
+    p = _raw(spark, sf).select("doc_id", F.col("i").alias("para_no"), t.alias("text"), (F.floor(F.col("i") / 6) + 1).cast("int").alias("chapter"), v.alias("verse"), F.lit(5).alias("max_verse"))
+    return documents.inferred_verses(p).select("doc_id", F.col("para_no").alias("i"), "infer")
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then '’آؤ‘ بولا' else 'کہ آؤ بولا' end as text from documents")
+@query(f"""with {_LINES}, s as (select doc_id, i, raw, replace(raw, ' a', ' "a') as source from w), c as (select *, length(source) - length(replace(source, '"', '')) as d, length(source) - length(replace(source, chr(39), '')) as q from s),
+k as (select *, (d >= 2 and d % 2 = 0) or (q >= 2 and q % 2 = 0) as whole from c)
+select doc_id, i::int as i, case when trim(source) = '' then case when i % 2 = 0 then 'x کہ ’' || raw || '‘ y' else 'x کہ ’' || raw end when whole and i % 2 = 0 then 'x ’' || raw || '‘ y' when i % 2 = 0 then 'x کہ ' || raw || '‘ y' else 'x کہ ' || raw end as text from k where not contains(raw, '’') and not contains(raw, '‘')""")
 def direct_speech(spark, sf):
-    even = F.col("doc_id") % 2 == 0
-    text = F.when(even, "کہ ’آؤ‘ بولا").otherwise("کہ ’آؤ بولا")
-    return table(spark, sf, "documents").select("doc_id", documents.direct_speech(text, F.lit('He said "come" to him')).alias("text"))
+    """Lines as speech, closed or not, against a source whose quotes are complete or not."""
+    even = F.col("i") % 2 == 0
+    d = _raw(spark, sf).where(~F.col("raw").rlike("[’‘]"))
+    text = F.when(even, F.concat(F.lit("x کہ ’"), "raw", F.lit("‘ y"))).otherwise(F.concat(F.lit("x کہ ’"), "raw"))
+    return d.select("doc_id", "i", documents.direct_speech(text, F.replace("raw", F.lit(" a"), F.lit(' "a'))).alias("text"))
+
+
+_CYRILLIC = "абсдефгхийклмнопяртвуъщкызАБСДЕФГХИЙКЛМНОПЯРТВУЪЩКЫЗ"
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then 'Arabic' when doc_id % 3 = 1 then 'Latin' else 'Cyrillic' end as script from documents")
+@query(f"""with {_LINES}, k as (select w.*, length(text) % 4 as k from w join documents using (doc_id)), t as (select doc_id, i, case when k = 0 or (k = 3 and i % 2 = 0) then translate(raw, '{_LATIN}', '{_ARABIC}') when k = 1 then translate(raw, '{_LATIN[:52]}', '{_CYRILLIC}') else raw end as t from k where i < 12),
+n as (select doc_id, sum(length(regexp_replace(t, '[^\\x{{0600}}-\\x{{06FF}}]', '', 'g'))) as a, sum(length(regexp_replace(t, '[^\\x{{0400}}-\\x{{04FF}}]', '', 'g'))) as c, sum(length(regexp_replace(t, '[^A-Za-z]', '', 'g'))) as l from t group by doc_id)
+select doc_id, case when a > 0 and a >= c and a >= l then 'Arabic' when c > 0 and c >= l then 'Cyrillic' when l > 0 then 'Latin' end as script from n""")
 def dominant_script(spark, sf):
-    title = F.element_at(F.array(F.lit("کتاب a"), F.lit("book"), F.lit("книга x")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return documents.dominant_script(table(spark, sf, "documents").select("doc_id", F.lit(1).alias("title_no"), title.alias("title")))
+    """The script of a document's first lines, in three scripts by the document's length, some in two at once."""
+    d = table(spark, sf, "documents").select("doc_id", (F.char_length("text") % 4).alias("k"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    arabic, cyrillic = F.translate("raw", _LATIN, _ARABIC), F.translate("raw", _LATIN[:52], _CYRILLIC)
+    t = F.when((F.col("k") == 0) | ((F.col("k") == 3) & (F.col("i") % 2 == 0)), arabic).when(F.col("k") == 1, cyrillic).otherwise(F.col("raw"))
+    return documents.dominant_script(d.select("doc_id", F.col("i").alias("title_no"), t.alias("title")))
 
 
 @query("""with p as (select page_id, regexp_replace(url, '[?#].*$', '') as path from pages), n as (select *, try_cast(regexp_extract(string_split(path, '/')[-1], '(?:^|[^\\p{L}0-9])([0-9]{1,3})(?:$|[^\\p{L}])', 1) as int) as n from p)
