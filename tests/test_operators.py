@@ -153,3 +153,17 @@ def test_stream(spark, tmp_path):
     q = stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("arrived").first()["cleaned"] == "Come, here"
+
+
+def test_counters_of_the_pass_that_cleans(spark):
+    said = ["a\u200eb \u200e", "\u200e\u00a0x ,y", "plain", None, "\ufeffx  y", "\u200f"]
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(said)], "path string, text string").repartition(3)
+    rules = [r for r in T.cleaner() if r.name in ("bom", "controls", "bidi", "inline_spaces", "nbsp")] or [T.BOM, T.CONTROLS, T.BIDI]
+    out, seen = audit.observed(d, rules)
+    cleaned = {r["path"]: r["cleaned"] for r in out.collect()}
+    got = seen.get
+    found = audit.trail(d, rules).groupBy("stage").agg(F.countDistinct("path").alias("files"), F.sum(F.char_length("original") - F.char_length("replacement")).alias("removed"))
+    want = {r["stage"]: (r["files"], r["removed"]) for r in found.collect()}
+    for r in rules:
+        assert (got[f"{r.name}_files"], got[f"{r.name}_removed"]) == want.get(r.label or r.name, (0, 0))
+    assert got["files"] == 6 and got["files_changed"] == sum(cleaned[str(i)] != t for i, t in enumerate(said)) and got["bidi_removed"] == 4

@@ -392,11 +392,55 @@ def clean_verse_lines(spark, sf):
     return T.clean_text(table(spark, sf, "documents").select("doc_id", text.alias("text"))).select("doc_id", "cleaned")
 
 
-@query("select doc_id, case doc_id % 4 when 0 then false when 1 then true when 2 then false else true end as arabic from documents")
+_LINES = "w as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents)"
+
+
+def _raw(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+
+
+_TAG = "case lang when 'en' then 'en' when 'de' then 'ur-PK' when 'fr' then ' fr_Arab ' else 'ar-Latn' end"
+
+
+@query(f"""with w as (select doc_id, lang, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+t as (select doc_id, lang, i, case length(raw) % 3 when 0 then raw when 1 then translate(raw, '{_LATIN}', '{_ARABIC}') else i || ' – ' || length(raw) end as t from w)
+select doc_id, i::int as i, case when regexp_matches(t, '[؀-ۿ]') and regexp_matches(t, '[\\x{{0620}}-\\x{{064A}}]') then true when regexp_matches(t, '\\p{{L}}') then false else lang in ('de', 'fr') end as arabic from t""")
 def quote_convention(spark, sf):
-    text = F.element_at(F.array(F.lit("word"), F.lit("کتاب"), F.lit("12"), F.lit("12")), (F.col("doc_id") % 4 + 1).cast("int"))
-    tag = F.element_at(F.array(F.lit("ur"), F.lit("en"), F.lit("ar-1994"), F.lit(" Arab")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", T.arabic_quotes(text, tag).alias("arabic"))
+    """Lines in their letters, in Arabic ones, and numbers alone, for which the language tag tells."""
+    k = F.char_length("raw") % 3
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    t = F.when(k == 0, F.col("raw")).when(k == 1, F.translate("raw", _LATIN, _ARABIC)).otherwise(F.concat(F.col("i").cast("string"), F.lit(" – "), F.char_length("raw").cast("string")))
+    return d.select("doc_id", "i", T.arabic_quotes(t, F.expr(_TAG)).alias("arabic"))
+
+
+#: How a word is written and what it becomes; < and > stand for the convention's opening and closing double quote.
+_QUOTED = (("w", "w"), ("< w >", "<w>"), ("w>.", "w۔>"), ("w!>.", "w!>"), ("’’w‘‘", "<w>"), ("x<w>", "x <w>"), ("’w‘y", "’w‘ y"), ("w‘>.", "w‘>."), ("( w )", "(w)"), ("w ,", "w,"), ("w!w", "w! w"))
+
+
+def _as_sql(col: int) -> str:
+    """Word y at place n, written the first or the second way."""
+    return f"case n % {len(_QUOTED)} " + " ".join(f"when {k} then replace('{p[col]}', 'w', y)" for k, p in enumerate(_QUOTED)) + " end"
+
+
+@query(f"""with {_LINES}, t as (select doc_id, i, length(raw) % 2 = 0 as arabic, string_split(trim(regexp_replace(raw, '[^A-Za-z]+', ' ', 'g')), ' ') as x from w),
+u as (select doc_id, i, arabic, x, n, case when arabic then translate(x, '{_LATIN[:52]}', '{_ARABIC[:52]}') else x end as y from (select doc_id, i, arabic, unnest(x) as x, unnest(range(len(x))) as n from t)),
+s as (select doc_id, i, arabic, string_agg({_as_sql(1)}, ' ' order by n) as o from u where y <> '' group by all)
+select doc_id, i::int as i, case when arabic then replace(replace(replace(replace(o, '<', chr(1)), '>', chr(2)), chr(1), '”'), chr(2), '“') else replace(replace(o, '<', '“'), '>', '”') end as line from s""")
+def quoted_words(spark, sf):
+    """Lines whose words have quotes, brackets, stops and commas set wrong, in both conventions."""
+    words = F.split(F.trim(F.regexp_replace("raw", "[^A-Za-z]+", " ")), " ")
+    d = _raw(spark, sf).select("doc_id", "i", (F.char_length("raw") % 2 == 0).alias("arabic"), words.alias("x"))
+    d = d.withColumn("x", F.when(F.col("arabic"), F.transform("x", lambda w: F.translate(w, _LATIN[:52], _ARABIC[:52]))).otherwise(F.col("x"))).where("x[0] <> ''")
+
+    def written(w, n):
+        out = None
+        for k, (before, _) in enumerate(_QUOTED):
+            one = F.concat(*[w if c == "w" else F.when(F.col("arabic"), "”" if c == "<" else "“").otherwise("“" if c == "<" else "”") if c in "<>" else F.lit(c) for c in before])
+            out = F.when(n % len(_QUOTED) == k, one) if out is None else out.when(n % len(_QUOTED) == k, one)
+        return out
+
+    line = F.array_join(F.transform("x", written), " ")
+    return d.select("doc_id", "i", F.when(F.col("arabic"), T.apply(T.ARABIC, line)).otherwise(T.apply(T.COMMON, line)).alias("line"))
 
 
 @query("select doc_id, 'foo، 3. bar baz' as text from documents where doc_id % 2 = 0 union all select doc_id, 'foo) bar' from documents where doc_id % 2 = 1")
@@ -468,13 +512,6 @@ def alias_resolution(spark, sf):
     return lookups.by_alias(d, F.col("raw"), a, T.alias_key).select("doc_id", "i", "book")
 
 
-_LINES = "w as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from documents)"
-
-
-def _raw(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
-
-
 @query(f"with {_LINES} select distinct doc_id as book, (i + 1)::int as chapter, unnest([(length(raw) % 7 + 1)::int, (length(raw) % 5 + 1)::int, 3]) as start from w")
 def chunk_map(spark, sf):
     """Each document's chunk starts by the lengths of its lines, from an encoded text."""
