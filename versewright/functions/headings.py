@@ -70,7 +70,8 @@ def numeric_title(text: Column, known: Column | None = None) -> Column:
 
 def alias_only(text: Column, scan: bool = True) -> Column:
     """Up to five words and forty characters without punctuation: a heading, if an alias names it."""
-    plain = ~is_chapter(text) & ~text.rlike("[" + re.escape(ALIAS_STOPS).replace('"', '\\"') + "]") & words(text).between(1, ALIAS_WORDS) & (F.char_length(F.trim(text)) <= ALIAS_CHARS)
+    short = (F.char_length(F.trim(text)) <= ALIAS_CHARS) & ~text.rlike("[" + re.escape(ALIAS_STOPS).replace('"', '\\"') + "]")
+    plain = short & ~is_chapter(text) & words(text).between(1, ALIAS_WORDS)
     return plain & ~verse_like(text) if scan else plain
 
 
@@ -104,7 +105,7 @@ def ignorable(text: Column, known: Column) -> Column:
 
 def credit_line(text: Column) -> Column:
     """The conversion's variant: a label, or two to six words in the shape of a translator's credit."""
-    few = T.script_number(text).isNull() & words(text).between(2, 6) & ~text.rlike("[،,.۔]") & text.rlike(CREDIT)
+    few = text.rlike(CREDIT) & ~text.rlike("[،,.۔]") & T.script_number(text).isNull() & words(text).between(2, 6)
     return F.coalesce(text.rlike(LABEL) | few, F.lit(False))
 
 

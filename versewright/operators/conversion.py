@@ -178,7 +178,8 @@ def _converted(text: Column, pattern: str | None) -> Column:
 def parts(paragraphs: DataFrame, pattern: str | None) -> DataFrame:
     """(doc_id, para_no, part_no, listed, kind, n, text): paragraphs with what stands inside them set apart: kind is text, mt (a
     title) or c (a chapter heading). Repeated until nothing more stands inside a text."""
-    hint = F.col("x.text").rlike(INLINE_TITLE) | F.col("x.text").rlike(TITLE_CHAPTER) | F.col("x.text").rlike(EMBEDDED_CHAPTER)
+    t = F.col("x.text")  # cheap signs first: few texts have them, and the patterns try many places
+    hint = (t.contains("(") & t.rlike(INLINE_TITLE)) | (t.rlike(f"(?iU){'|'.join(H.CHAPTER_WORDS)}") & (t.rlike(TITLE_CHAPTER) | t.rlike(EMBEDDED_CHAPTER)))
     d = paragraphs.select("doc_id", "para_no", "listed", F.array(F.lit(0)).alias("at"), _part("text", F.col("text")).alias("x"))
     done = None
     for _ in range(1_000_000):  # each round makes the texts of the next shorter
@@ -280,7 +281,7 @@ def facts(d: DataFrame, pattern: str | None, keep: bool) -> DataFrame:
     v, alone = explicit_verses(F.col("inline"), F.col("inline_text"))
     d = d.withColumns({"verses": F.when(F.col("inline").isNotNull(), _led(v)).otherwise(_led(merged_verses(F.col("number"), F.col("body")))), "inline_alone": F.when(F.col("inline").isNotNull(), alone)})
     # the number that a part leaves waiting, if it is read as verses: that of a marker at its end
-    last = explicit_verses(F.lit(0), t)[1]
+    last = F.when(t.rlike(r"(?i)\\v"), explicit_verses(F.lit(0), t)[1])
     return d.withColumn("waits", F.coalesce("alone", "inline_alone", F.when(F.col("free"), last)))
 
 
@@ -295,10 +296,12 @@ def from_shape(paragraphs: DataFrame, aliases: list[str], keep: bool = False, bo
     Null and blank paragraphs say nothing; para_no must be unique in a document. A document of any length is spread over tasks.
     """
     pattern, order = alias_pattern(aliases), [F.col("para_no").asc(), F.col("at").asc()]
-    d = paragraphs.select("doc_id", "para_no", F.coalesce("is_numbered", F.lit(False)).alias("listed"), strip(T.paragraph_text(F.coalesce("text", F.lit("")))).alias("text")).where("text <> ''")
+    d = paragraphs.select("doc_id", "para_no", F.coalesce("is_numbered", F.lit(False)).alias("listed"), strip(T.paragraph_text(F.coalesce("text", F.lit("")))).alias("text"))
+    d = stored(d, "texts").where("text <> ''")  # else a text is worked out again wherever a pattern looks at it
     d = facts(parts(d, pattern), pattern, keep)
     titled = F.when((F.col("kind") == "mt") | F.col("is_title"), heading_key(F.col("text")))
     d = d.withColumns({"title_key": titled, "worded": F.when(F.col("word") & ~F.col("is_title"), F.lit(True))})
+    d = stored(d, "facts")  # dealing out by ranges reads its input twice
     d = all_carried(d, [("waits", "pending", False), ("title_key", "title_before", False), ("worded", "word_before", False)], ["doc_id"], order)
     if book_title:
         d = d.withColumn("title_before", F.coalesce("title_before", F.when(F.col("word_before"), heading_key(F.lit(book_title)))))

@@ -547,7 +547,7 @@ def heading_shapes(spark, sf):
     return d.select("doc_id", "i", H.alias_only(F.col("t")).alias("alias_only"), H.verse_like(F.col("t")).alias("verse_like"))
 
 
-_X = "'x ' || trim(regexp_replace(raw, '[^A-Za-z]+', ' ', 'g'))"
+_X = "trim('x ' || trim(regexp_replace(raw, '[^A-Za-z]+', ' ', 'g')))"
 _PARAS = f"q as (select doc_id::varchar as doc_id, unnest(range(len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as raw from documents), x as (select doc_id, i, (i - 1) // 5 + 1 as chapter, i % 5 as k, {_X} as t from q)"
 
 
